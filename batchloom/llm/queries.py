@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import line_dedup, media_ts, mixing, token_counts
+from batchloom.llm import line_dedup, media_ts, mixing, near_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines, and the SHA-256 of what is left."""
     out = line_dedup.remove_spread_lines(spark, _table(spark, sf_dir, "documents"))
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_near_dedup": op3_near_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op9_media_columns": op9_media_columns,
         "op10_source_mix": op10_source_mix,
