@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import line_dedup, media_ts, mixing, near_dedup, token_counts
+from batchloom.llm import line_dedup, media_ts, mixing, near_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,24 @@ FROM documents d JOIN per USING (doc_id)
 """
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(spark, _table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+  FROM pages
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND owner <> page_id THEN owner END AS refers_to
+FROM p
+"""
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.media_columns(spark, _table(spark, sf_dir, "documents"))
 
@@ -95,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_near_dedup": op3_near_dedup,
         "op5_line_dedup": op5_line_dedup,
+        "op8_warc_archive": op8_warc_archive,
         "op9_media_columns": op9_media_columns,
         "op10_source_mix": op10_source_mix,
         "pipeline": corpus_pipeline.run,
@@ -102,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op10_source_mix": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_warc_archive": OP8_SQL, "op10_source_mix": OP10_SQL}
