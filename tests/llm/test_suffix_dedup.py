@@ -1,0 +1,70 @@
+"""Repeated passages against brute force over all windows, and suffix order against sorting."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from batchloom.llm import suffix_dedup as sd
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(256)), b"abcdefgh \n"])
+def test_suffix_order(alphabet):
+    rng = random.Random(len(alphabet))
+    lens = [rng.choice([1, 5, 27]) for _ in range(60)]
+    raw = b"".join(bytes(rng.choice(alphabet) for _ in range(n + 49)) for n in lens)
+    text = np.concatenate([np.frombuffer(raw, np.uint8), np.zeros(64, np.uint8)])
+    lens = np.array(lens)
+    starts = np.cumsum(lens + 49) - (lens + 49)
+    places = sd.ranges(starts, lens)
+    wanted = np.zeros(text.size, bool)
+    wanted[places] = True
+    order = sd.suffix_order(text, wanted, starts + lens - 1)
+    assert sorted(order.tolist()) == places.tolist()
+    windows = [text[p : p + 50].tobytes() for p in order]
+    assert windows == sorted(windows)
+    common = [next((i for i in range(50) if a[i] != b[i]), 50) for a, b in zip(windows, windows[1:], strict=False)]
+    assert sd.common_prefixes(text, order)[1:].tolist() == common
+
+
+def brute(rows):
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49) if i is not None else ():
+            w = raw[p : p + 50]
+            first[w] = min(first.get(w, i), i)
+    out = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 49) if i is not None else ():
+            if first[raw[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        starts = [p for p in range(len(raw)) if gone[p] and not (p and gone[p - 1])]
+        ends = [p + 1 for p in range(len(raw)) if gone[p] and not (p + 1 < len(raw) and gone[p + 1])]
+        out.append((i, len(raw), starts, ends, bytes(b for b, g in zip(raw, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    syllables = ["the", "tion", "é", "an", "er", " ", " ", ", ", "\n", "a"]
+    make = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    shared = [make(rng.choice([20, 25, 40, 120])) for _ in range(6)] + ["x" * 130, "ab" * 60]
+    rows = [(i, make(rng.choice([0, 5, 60])) + "".join(rng.choice(shared)[rng.choice([0, 0, 3]) :] + make(rng.choice([0, 2, 30])) for _ in range(rng.choice([0, 1, 3])))) for i in rng.sample(range(1000), 60)]
+    return [*rows, (2000, rows[3][1]), (2001, rows[3][1]), rows[4], (2002, None), (2003, ""), (None, rows[5][1]), (2004, rows[5][1])]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_removed_bytes_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "HOT", hot)
+    rows = corpus(hot)
+    got = sd.remove_repeats(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, starts string").repartition(3)).collect()
+    assert sorted(((r[0], r[1], list(r[2]), list(r[3]), bytes(r[4])) for r in got), key=str) == brute(rows)
+
+
+def test_empty(spark):
+    assert sd.remove_repeats(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
