@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import line_dedup, media_ts, mixing, near_dedup, suffix_dedup, token_counts, warc
+from batchloom.llm import decontaminate, language_id, license_scan, line_dedup, media_ts, mixing, near_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it contains."""
+    return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines, and the SHA-256 of what is left."""
     out = line_dedup.remove_spread_lines(spark, _table(spark, sf_dir, "documents"))
@@ -63,6 +68,44 @@ FROM documents d JOIN per USING (doc_id)
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, _table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(spark, _table(spark, sf_dir, "documents"))
+
+
+def _template_rows() -> str:
+    return ", ".join(f"('{name}', [{', '.join(repr(w) for w in text.lower().split())}])" for name, text in license_scan.TEMPLATES)
+
+
+OP7_SQL = rf"""
+WITH t0(license, tw) AS (VALUES {_template_rows()}),
+t AS (
+  SELECT license, len(tw) AS l, least(5, len(tw)) AS k, greatest(len(tw) - 4, 1) AS n,
+    list_distinct([array_to_string(tw[j : j + least(5, len(tw)) - 1], ' ') FOR j IN range(1, greatest(len(tw) - 4, 1) + 1)]) AS s FROM t0
+), ts AS (
+  SELECT license, l, k, n, len(s) AS ns, unnest(s) AS shingle FROM t
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, len(w) AS nw, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM t)
+), hits AS (
+  SELECT doc_id, nw, license, l, n, ns, pos, shingle
+  FROM (SELECT doc_id, nw, k, pos, array_to_string(w[pos : pos + k - 1], ' ') AS shingle FROM p) JOIN ts USING (k, shingle)
+), starts AS (
+  SELECT DISTINCT doc_id, license, i
+  FROM (SELECT doc_id, license, unnest(range(greatest(1, pos - n + 1), least(pos, greatest(nw - l + 1, 1)) + 1)) AS i FROM hits)
+), z AS (
+  SELECT doc_id, license, i, count(DISTINCT shingle) / max(ns) AS c
+  FROM starts JOIN hits USING (doc_id, license) WHERE pos BETWEEN i AND i + n - 1 GROUP BY doc_id, license, i
+)
+SELECT doc_id, license, max(c) AS containment, count(*) AS n_windows, CAST(min(i) AS BIGINT) AS first_word
+FROM z WHERE c >= {license_scan.CONTAINMENT} GROUP BY doc_id, license
+"""
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_pages(spark, _table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -124,7 +167,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_near_dedup": op3_near_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_line_dedup": op5_line_dedup,
+        "op6_language_id": op6_language_id,
+        "op7_license_scan": op7_license_scan,
         "op8_warc_archive": op8_warc_archive,
         "op9_media_columns": op9_media_columns,
         "op10_source_mix": op10_source_mix,
@@ -133,4 +179,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op8_warc_archive": OP8_SQL, "op10_source_mix": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_warc_archive": OP8_SQL, "op10_source_mix": OP10_SQL}

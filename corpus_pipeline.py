@@ -1,35 +1,55 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing, in this order."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing, in this order.
+
+Every stage works on all that its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from batchloom.llm import line_dedup, mixing
+from batchloom.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
 from batchloom.llm.common import written
-from batchloom.llm.queries import document_quality
+from batchloom.llm.queries import document_quality, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove the lines that many sites carry; ``n_chars`` follows the text."""
-    from pyspark.sql import functions as F
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told: those without letters, or undecided, go."""
+    return language_id.keep_identified(spark, docs, tokenizer_path("piece_bpe_32k.model")).select(*COLUMNS)
 
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many sites carry; ``n_chars`` follows the text."""
     out = line_dedup.remove_spread_lines(spark, docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    out = near_dedup.near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
+    return docs.join(out, docs["doc_id"].eqNullSafe(out["k"]), "left_semi").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    found = decontaminate.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = found.select(F.col("doc_id").alias("k")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["k"]), "left_anti").select(*COLUMNS)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of every document the training mix takes."""
     return mixing.mix(spark, docs, document_quality(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES: list[tuple[str, Stage]] = [("lines", lines), ("mixture", mixture)]
+STAGES: list[tuple[str, Stage]] = [("language", language), ("lines", lines), ("near", near), ("decontaminated", decontaminated), ("mixture", mixture)]
 
-#: Language ID and near-duplicate components have no SQL; tests compare the stages with brute force.
+#: Language models, components of similar texts and tilings have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
