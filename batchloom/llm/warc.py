@@ -272,7 +272,8 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def read_archives(spark: SparkSession, entries: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives that the index names, read file by file."""
     files = entries.select("file").distinct()
-    return files.repartition(max(1, files.count()), "file").mapInArrow(_reader(folder), RECORD)
+    # Dealt by a hash of the name, as dealing by the name itself could be merged with the exchange of distinct().
+    return files.repartition(max(1, files.count()), F.xxhash64("file")).mapInArrow(_reader(folder), RECORD)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, ts_col: str | None = None) -> DataFrame:
@@ -280,5 +281,6 @@ def archive_pages(spark: SparkSession, pages: DataFrame, ts_col: str | None = No
     entries, folder = write_archives(spark, pages, ts_col)
     index = merge_index(spark, entries).select(F.col("file").alias("f"), F.col("offset").alias("o"), "range", "position", "url_key", "ts")
     records = read_archives(spark, entries, folder)
-    out = records.join(index, (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o")))
+    # What Python reads has no size estimate, so neither side may be broadcast.
+    out = records.hint("merge").join(index.hint("merge"), (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range", "position")
