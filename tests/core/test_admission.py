@@ -1,0 +1,115 @@
+"""Who may run together."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from batchloom.plans.admission import Admission, Bundle, Kind, Owner, Resources, Spec, State, admission_states, allocation_targets, check_limits, plan, units_for, validate
+
+
+def pool(cpu=1.0, gpu=1.0, memory=0.0, n=1, most=4, kind=Kind.ELASTIC_POOL, sticky=False, custom=()):
+    bundle = Bundle(Resources(cpu, gpu, memory), custom)
+    return Spec(kind, (bundle,) * n, None if kind is Kind.FIXED_GANG else bundle, 1 if kind is Kind.FIXED_GANG else most, sticky)
+
+
+def states(owners, **capacity) -> list[str]:
+    return [s.value for s in plan(owners, Resources(**capacity)).states.values()]
+
+
+CHAIN = [Owner("a", pool()), Owner("cpu", None, ("a",)), Owner("b", pool(), ("cpu",), queued=1), Owner("c", pool(), ("b",), queued=1)]
+
+
+def test_topological_frontier():
+    assert states(CHAIN, cpu=8, gpu=1) == ["admitted", "frontier", "blocked"]
+    assert states([replace(CHAIN[0], finished=True), *CHAIN[1:]], cpu=8, gpu=1) == ["dormant", "admitted", "frontier"]
+    assert states(CHAIN, cpu=8, gpu=3) == ["admitted"] * 3
+
+
+def test_fan_in():
+    owners = [Owner("l", pool(gpu=0.5), queued=1), Owner("r", pool(), queued=1), Owner("j", pool(gpu=0.5), ("l", "r"), queued=1)]
+    assert states(owners, cpu=8, gpu=1) == ["admitted", "frontier", "blocked"]
+
+
+def test_isolation():
+    owners = [Owner("x", pool(custom=(("node", 1.0),)), queued=1), Owner("y", pool(), queued=1), Owner("z", pool(), queued=1)]
+    assert states(owners, cpu=8, gpu=8) == ["admitted", "frontier", "blocked"]
+
+
+def test_started_sticky_owners_keep_their_floor():
+    gang = pool(kind=Kind.FIXED_GANG, n=2, sticky=True)
+    owners = [Owner("up", pool(), internal=True), Owner("gang", gang, ("up",), active=1, releasable=False, admitted=True, granted=1), Owner("down", pool(), ("gang",), queued=1)]
+    result = plan(owners, Resources(cpu=8, gpu=3))
+    assert [s.value for s in result.states.values()] == ["admitted", "admitted", "frontier"]
+    assert result.grants == {"up": 1, "gang": 1, "down": 0}
+
+
+def test_zero_capacity_seeds_the_frontier():
+    result = plan([Owner("a", pool(), queued=1), Owner("b", pool(), queued=1)], Resources(cpu=8))
+    assert result == Admission({"a": State.FRONTIER, "b": State.BLOCKED}, {"a": 1, "b": 0}, "a")
+    held = plan([Owner("a", pool(), queued=1), Owner("b", pool(), queued=1)], Resources(cpu=8, gpu=1))
+    assert held.seeded is None and held.grants == {"a": 1, "b": 0}
+
+
+def test_claims():
+    idle = Owner("a", pool())
+    assert not idle.claims and replace(idle, owns=True).claims
+    assert not replace(idle, owns=True, inputs_complete=True).claims
+    assert replace(idle, inputs_complete=True).done and not replace(idle, inputs_complete=True, active=1).done
+    assert replace(idle, finished=True, releasable=False).claims
+
+
+def test_grants():
+    transient = pool(cpu=1, gpu=0.25, kind=Kind.TRANSIENT, most=None)
+    assert units_for(Resources(4, 1), transient) == 4
+    assert plan([Owner("a", transient, queued=1)], Resources(8, 1), {"a": Resources(4, 1)}).grants == {"a": 4}
+    assert plan([Owner("a", pool(most=2), queued=1)], Resources(8, 8), {"a": Resources(8, 8)}).grants == {"a": 2}
+
+
+def test_targets():
+    one = Owner("a", pool(cpu=0, most=2), queued=1)
+    assert allocation_targets([one], Resources(8, 2))["a"].gpu == 2
+    assert {t.gpu for t in allocation_targets([one, replace(one, name="b")], Resources(8, 2)).values()} == {1}
+    both = allocation_targets([Owner("g", pool(cpu=0, kind=Kind.FIXED_GANG)), Owner("e", pool(cpu=0, most=None))], Resources(8, 4))
+    assert (both["g"].gpu, both["e"].gpu) == (1, 3)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        Spec(Kind.TRANSIENT, (), Bundle(Resources())),
+        Spec(Kind.ELASTIC_POOL, (Bundle(Resources(1)),)),
+        Spec(Kind.FIXED_GANG, (Bundle(Resources(-1)),)),
+        Spec(Kind.FIXED_GANG, (Bundle(Resources(1), (("x", -1.0),)),)),
+        Spec(Kind.FIXED_GANG, (Bundle(Resources(1)),), max_units=0),
+        Spec(Kind.ELASTIC_POOL, (Bundle(Resources(1)),) * 3, Bundle(Resources(1)), 2),
+    ],
+)
+def test_bad_specs(bad):
+    with pytest.raises(ValueError):
+        validate(bad)
+
+
+def test_explicit_limits():
+    check_limits("a", pool(n=2), Resources(2, 2))
+    with pytest.raises(ValueError, match="a needs"):
+        check_limits("a", pool(n=2), Resources(8, 2), excluded=Resources(0, 1))
+    validate(pool(kind=Kind.FIXED_GANG, n=3))
+
+
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 3), st.integers(0, 3)), max_size=8), st.integers(0, 6), st.integers(0, 6))
+def test_a_scan_never_skips_ahead(rows, cpu, gpu):
+    owners = [Owner(str(i), pool(c, g), queued=int(q)) for i, (q, c, g) in enumerate(rows)]
+    got = states(owners, cpu=cpu, gpu=gpu)
+    busy = [s for s, (q, *_) in zip(got, rows, strict=True) if q]
+    assert busy == sorted(busy, key=["admitted", "frontier", "blocked"].index)
+    assert busy.count("frontier") <= 1
+
+
+def test_window_query_agrees(spark):
+    rows = [(i, str(i), i % 4 != 1, 1.0, 0.5 * (i % 3), 0.0) for i in range(9)]
+    got = [r["state"] for r in admission_states(spark.createDataFrame(rows, "place int, name string, claims boolean, cpu double, gpu double, memory double"), 4, 2, 0).orderBy("place").collect()]
+    assert got == states([Owner(n, pool(c, g, m), queued=int(q)) for _, n, q, c, g, m in rows], cpu=4, gpu=2, memory=0)
