@@ -9,10 +9,11 @@ least 0.75; groups are connected components.
 2. Documents with equal sets form a class, which goes on as its smallest document.
 3. Each class is compared with the smallest class of its bands; links are verified by signature, then on the
    full sets, and components come from alternating large-star and small-star.
-4. Bands that still hold more than one component go through further rounds: up to ``LEADERS`` classes of a band,
-   those of small components first, are compared with all its others and then leave the band, until no band
-   holds two components. So no pair of classes that shares a band goes unverified unless it is connected anyway,
-   and no band's pairs are made all at once.
+4. Classes tied by shared bands, directly or through others, form a cluster. Where a cluster still has several
+   components, every class outside its largest component is compared with all of the cluster, in cells of at most
+   ``CELL`` by ``CELL`` classes: an index of the one side's shingles counts the common shingles of all pairs of a
+   cell exactly, and only the components it joins come out. So no pair that shares a band stays unverified, unless it
+   is connected anyway, and no pairs are written.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is kept; rows
 with the same id are one node of the graph, linked if any of their sets is; a row without an id links with nothing, has a null
@@ -26,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import mixed, pieces, shingle_hashes, utf8_column, word_hashes, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-LEADERS = 32
+CELL = 2_048
 #: Signature similarity below which a pair is refused unseen: over five standard errors under 0.75.
 REFUSE = 0.55
 #: Up to so many candidate ids (8 MB) are broadcast to pick their texts; more are joined by a shuffle.
@@ -45,6 +46,8 @@ _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
 _PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of consecutive texts: the first one's number, their shingle hashes, and how many each has."""
@@ -136,23 +139,19 @@ def connected_components(spark: SparkSession, links: DataFrame, name: str = "com
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def are_stars(df: DataFrame) -> bool:
+        """Whether every node is either a centre, or tied to one centre only."""
+        ends = df.select(F.col("u").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(df.select(F.col("v").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        return ends.groupBy("n").agg(F.sum("o").alias("o"), F.max("i").alias("i")).where("o > 1 OR (o = 1 AND i = 1)").isEmpty()
 
     edges = written(spark, ordered(links), name)
-    before = mark(edges)
-    while before[0]:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(spark, ordered(large), name)
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(spark, ordered(small), name)
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -167,6 +166,69 @@ def _verified(spark: SparkSession, pairs: DataFrame, sigs: DataFrame, sets: Data
     return written(spark, both(near, sets, "shingles").mapInArrow(_similar, "u long, v long"), "near-links")
 
 
+def _joined(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after ``links`` (u, v) between ids."""
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u").join(labels.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v")
+    parts = connected_components(spark, ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    merged = labels.join(parts.withColumnRenamed("component", "to"), F.col("component") == F.col("node"), "left")
+    return written(spark, merged.select("id", F.coalesce("to", "component").alias("component")), "near-labels")
+
+
+def _cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Links between components of a cell, enough to connect all that similar pairs connect."""
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    components, probe = rows.column("component").to_pylist(), rows.column("probe").to_pylist()
+    probes = [i for i, p in enumerate(probe) if p]
+    if not probes:
+        return _LINKS.empty_table()
+    size = np.array([sets[i].size for i in probes])
+    own = np.array([components[i] for i in probes])
+    joined = np.concatenate([sets[i] for i in probes])
+    order = np.argsort(joined, kind="stable")
+    number = np.repeat(np.arange(len(probes)), size)[order]
+    known, starts, counts = np.unique(joined[order], return_index=True, return_counts=True)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for i, p in enumerate(probe):
+        if p or not sets[i].size:
+            continue
+        at = np.minimum(np.searchsorted(known, sets[i]), known.size - 1)
+        at = at[known[at] == sets[i]]
+        times = counts[at]
+        total = np.cumsum(times)
+        if not total.size:
+            continue
+        places = np.repeat(starts[at] - (total - times), times) + np.arange(int(total[-1]))
+        common = np.bincount(number[places], minlength=len(probes))
+        for c in np.unique(own[100 * common >= PERCENT * (size + sets[i].size - common)]).tolist():
+            a, b = sorted((find(c), find(components[i])))
+            if a != b:
+                root[b] = a
+    return pa.Table.from_arrays([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], schema=_LINKS)
+
+
+def _rest(spark: SparkSession, labels: DataFrame, clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each cluster."""
+    known = labels.join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    per = known.groupBy("cluster", "component").agg(F.count("*").alias("members"))
+    per = per.groupBy("cluster").agg(F.max(F.struct("members", "component")).alias("most"), F.sum("members").alias("all"), F.count("*").alias("parts"))
+    open_ = per.where("parts > 1").select("cluster", F.col("most.component").alias("largest"), "all", (F.col("all") - F.col("most.members")).alias("others"))
+    blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    known = written(spark, known.join(open_, "cluster").withColumns({"rows": blocks("all"), "columns": blocks("others")}), "near-open")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = known.select("id", "component", "cluster", F.lit(False).alias("probe"), place("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
+    probes = known.where("component <> largest").select("id", "component", "cluster", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), place("columns").alias("c"))
+    cells = every.unionByName(probes).join(sets, "id").groupBy("cluster", "r", "c")
+    return written(spark, cells.applyInArrow(_cell, "u long, v long"), "near-cells")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id of its group) and kept."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -180,37 +242,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     entries = heads.select(F.explode("bands").alias("key"), "id", "n")
     crowded = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1")
     entries = written(spark, entries.join(crowded.drop("c"), "key"), "near-entries")
-    wanted = written(spark, entries.select("id").distinct(), "near-ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted_ids = written(spark, entries.select("id").distinct(), "near-ids")
+    wanted = F.broadcast(wanted_ids) if wanted_ids.count() <= BROADCAST_IDS else wanted_ids
     chosen = texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
     if usable.count() > usable.select("doc_id").distinct().count():
         chosen = chosen.dropDuplicates(["id", "text"])
     sets = written(spark, chosen.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles binary"), "near-sets")
 
     first = entries.where("leader <> id").groupBy(F.col("id").alias("v")).agg(F.min("leader").alias("u")).select("u", "v")
-    links = _verified(spark, first, heads, sets)
-    tested = first
-    while True:
-        parts = connected_components(spark, links)
-        sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-        parts = parts.join(sizes, "component").select(F.col("node").alias("id"), "component", "members")
-        known = entries.select("key", "id", "n").join(parts, "id", "left").withColumns({"component": F.coalesce("component", "id"), "members": F.coalesce("members", F.lit(1))})
-        mixed_keys = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        known = written(spark, known.join(mixed_keys, "key", "left_semi"), "near-open")
-        if known.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("members", "id"))
-        leaders = written(spark, known.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank", "members"), "near-leaders")
-        pairs = known.join(leaders.select("key", F.col("id").alias("l"), F.col("n").alias("ln"), F.col("component").alias("lc")), "key")
-        pairs = pairs.where((F.col("component") != F.col("lc")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * PERCENT))
-        pairs = pairs.select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = written(spark, pairs, "near-tests")
-        more = _verified(spark, pairs, heads, sets)
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-        entries = known.join(leaders, ["key", "id"], "left_anti").select("key", "id", "n")
-
-    found = classes.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    labels = _joined(spark, wanted_ids.withColumn("component", F.col("id")), _verified(spark, first, heads, sets))
+    clusters = connected_components(spark, entries.where("leader <> id").select(F.col("id").alias("u"), F.col("leader").alias("v")), "near-clusters")
+    labels = _joined(spark, labels, _rest(spark, labels, clusters, sets))
+
+    found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = profiles.select("doc_id", "n_shingles", "set_a", "set_b").withColumn("linked", F.expr("n_shingles > 0 AND doc_id IS NOT NULL"))
     out = out.join(found.withColumnsRenamed({"set_a": "a", "set_b": "b"}), F.expr("linked AND set_a = a AND set_b = b"), "left")
     component = F.coalesce("component_id", "doc_id")

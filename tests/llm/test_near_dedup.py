@@ -53,10 +53,10 @@ def test_groups_match_brute_force(spark, seed):
     assert len(got) == len(rows)
 
 
-def test_band_with_many_unlinked_members(spark, monkeypatch):
+def test_clusters_of_many_cells(spark, monkeypatch):
     from batchloom.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    monkeypatch.setattr(near_dedup, "CELL", 3)
     rows = corpus(3)
     got = near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
     assert {tuple(r) for r in got} == brute(rows)
