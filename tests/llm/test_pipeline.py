@@ -1,0 +1,71 @@
+"""The pipeline's stages, each against a plain version on its own input, and the registry."""
+
+from __future__ import annotations
+
+import pytest
+from test_decontaminate import plain_tiles
+from test_line_dedup import brute as plain_lines
+from test_mixing import plain as plain_mix
+from test_near_dedup import brute as plain_near
+
+import __spark_entry__
+import corpus_pipeline
+from batchloom.llm.line_dedup import MIN_SITES
+
+SF = "/root/testdata/sf0.001"
+WORD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def test_stages_are_in_order_and_registered():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "decontaminated", "mixture"]
+    names = __spark_entry__.queries()
+    assert {f"op{n}_" for n in range(1, 11)} <= {name.split("_")[0] + "_" for name in names if name.startswith("op")}
+    assert names["pipeline"] is corpus_pipeline.run
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_every_stage_on_its_input(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [r["text"].encode().translate(WORD).split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(spark, stage(spark, docs, SF), name)
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert docs.count() == len(after)
+        if name != "mixture":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        if name == "language":
+            assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r["text"])}
+            assert all(after[i] == before[i] for i in after)
+        elif name == "lines":
+            expected = {r[0]: r[1] for r in plain_lines([(i, r["text"], r["source"]) for i, r in before.items()], MIN_SITES)}
+            assert {i: r["text"] for i, r in after.items()} == expected
+            assert all(r["n_chars"] == len(r["text"]) for r in after.values())
+        elif name == "near":
+            assert set(after) == {i for i, _, _, kept in plain_near([(i, r["text"]) for i, r in before.items()]) if kept}
+        elif name == "decontaminated":
+            seeds = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in items]
+            gone = set()
+            for i, r in before.items():
+                words = r["text"].encode().translate(WORD).split()
+                have = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+                for item, seed in zip(items, seeds, strict=True):
+                    if seed & have and 2 * sum(k for *_, k in plain_tiles(item, words, 5)) >= len(item):
+                        gone.add(i)
+            assert gone and set(after) == set(before) - gone
+        else:
+            quality = {r["doc_id"]: 0.5 + 1.5 * r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            expected = {r[0]: r for r in plain_mix([(i, r["text"], r["source"]) for i, r in before.items()], quality)}
+            assert all(tuple(r) == expected[i] for i, r in after.items()) and len(after) == len(expected)
+        before = after
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_edge_rows(spark, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three four five six", "en", "a", 27), (3, "one two three four five six", "en", "a", 27), (None, "some words here", None, "b", 15)]
+    docs = spark.createDataFrame(rows, schema)
+    if name != "mixture":
+        assert tuple(stage(spark, docs, SF).columns) == corpus_pipeline.COLUMNS
+    assert 0 < stage(spark, docs, SF).count() <= 5 or name == "language"
+    assert stage(spark, docs.limit(0), SF).collect() == []
