@@ -20,7 +20,7 @@ def test_stages_are_in_order_and_registered():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "decontaminated", "mixture"]
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {name.split("_")[0] + "_" for name in names if name.startswith("op")}
-    assert names["pipeline"] is corpus_pipeline.run
+    assert names["pipeline"].__wrapped__ is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
