@@ -136,9 +136,18 @@ class BatchFrame:
                     batches = _limited(batches, limit)
                 return chained(configs, batches)
 
-            out = out.mapInArrow(run, schema, profile=profile) if profile else out.mapInArrow(run, schema)
+            gang = d.spec is not None and d.spec.profile is not None and d.spec.profile.gang
+            if gang:
+                self._check_gang(out)
+            out = out.mapInArrow(run, schema, barrier=gang, profile=profile)
         return out
 
+    def _check_gang(self, df: DataFrame) -> None:
+        """A gang needs a slot for every partition at once; refuse before it starts what can't get them."""
+        blocks, slots = df.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism
+        if blocks > slots:
+            raise ValueError(f"a gang of {blocks} partitions needs as many slots; there are {slots}")
+
     def _over(self, df: DataFrame) -> BatchFrame:
         return BatchFrame(df, (), self.settings, None)
 
@@ -169,6 +178,12 @@ class BatchFrame:
             raise ValueError("the factor is at least 1")
         return self if factor == 1 else self.repartition(factor * self.num_blocks())
 
+    def bundle(self, min_rows: int) -> BatchFrame:
+        """Fewer partitions, of about ``min_rows`` rows or more each, without an exchange."""
+        if min_rows < 1:
+            raise ValueError("min_rows is at least 1")
+        return self.coalesce(max(1, min(self.num_blocks(), self.count() // min_rows)))
+
     def coalesce(self, n: int) -> BatchFrame:
         return self._over(self.df.coalesce(n))
 
@@ -203,9 +218,8 @@ class BatchFrame:
 
     def iter_batches(self, batch_size: int | None = 4096) -> Iterator[pa.Table]:
         """Batches to the driver, a partition at a time."""
-        schema = to_arrow_schema(self.df.schema)
-        rows = (pa.Table.from_pylist([r.asDict(recursive=True)], schema=schema) for r in self.df.toLocalIterator(prefetchPartitions=True))
-        return rebatched(rows, batch_size)
+        packed = self.df.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True)
+        return rebatched((pa.ipc.open_stream(row[0]).read_all() for row in packed), batch_size)
 
     def num_blocks(self) -> int:
         return self.df.rdd.getNumPartitions()
@@ -220,6 +234,15 @@ class BatchFrame:
         return explain(self)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one row of bytes."""
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def _limited(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if most <= 0:

@@ -242,6 +242,17 @@ def map_then_join(spark, sf_dir):
     return frame.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").df
 
 
+@query("SELECT l_orderkey, CAST(l_linenumber + 1 AS INTEGER) AS l_linenumber FROM lineitem")
+def map_gang(spark, sf_dir):
+    """All tasks of the stage start together or not at all."""
+    return lineitem(spark, sf_dir, KEYS).coalesce(2).map_batches(add_to, schema=KEYS_DDL, fn_args=("l_linenumber", 1), gang=True).df
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def bundled_blocks(spark, sf_dir):
+    return lineitem(spark, sf_dir, KEYS).split_blocks(4).bundle(20_000).df
+
+
 OPERATORS = [(0, "pool", True, 1.0, 1.0, 0.0), (1, "idle", False, 4.0, 4.0, 0.0), (2, "half", True, 1.0, 0.5, 0.0), (3, "big", True, 1.0, 1.0, 0.0), (4, "late", True, 0.0, 0.25, 0.0)]
 
 

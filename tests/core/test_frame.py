@@ -161,3 +161,19 @@ def test_stream(spark, values, tmp_path):
     assert sorted(r[0] for r in spark.table("streamed").collect()) == [3, 4, 5]
     with pytest.raises(ValueError):
         streamed(values, values.base)
+
+
+def test_gangs_start_whole_or_not_at_all(spark, values):
+    frame = plus(plus(values, gang=True), gang=True)
+    assert [d.how for d in frame.decisions] == ["fused"] and sorted(r["value"] for r in frame.take_all()) == [3, 4, 5, 6]
+    assert "gang differs" in plus(plus(values, gang=True)).explain()
+    many = replace(from_range(spark, 100, 64), settings=ON)
+    with pytest.raises(ValueError, match="needs as many slots"):
+        many.map_batches(lambda b: b, schema="id long", gang=True).count()
+
+
+def test_bundles(spark):
+    frame = from_range(spark, 100, 8)
+    assert [frame.bundle(n).num_blocks() for n in (1, 25, 1000)] == [8, 4, 1]
+    with pytest.raises(ValueError):
+        frame.bundle(0)
