@@ -32,45 +32,76 @@ FLOOR, SMOOTH, ROUNDS = 1e-8, 0.05, 3
 REMEMBER = 250_000
 ROWS = 1_000
 UNKNOWN = "und"
+_BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 words_of = re.compile(rf"[^\W\d_]{{1,{WORD}}}").findall
 
 
-def vocabulary(path: str) -> dict[str, int]:
+class Pieces:
+    """Pieces by number, found by a 64-bit polynomial hash of their characters."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        hashes = np.array([self._hash(n) for n in names], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _BASE + ord(c) + 1) % 2**64
+        return h
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are pieces, and the pieces' numbers."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.names) - 1)
+        where = np.flatnonzero(self.hashes[at] == hashes)
+        return where, self.order[at[where]]
+
+
+def vocabulary(path: str) -> Pieces:
     """Pieces of letters, in lower case, and of a word's start, of a sentencepiece vocabulary."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     lower = dict.fromkeys(p.lower() for p in pieces)
-    keep = [p for p in lower if len(p) <= PIECE and p != "▁" and p.removeprefix("▁").isalpha()]
-    return {p: i for i, p in enumerate(keep)}
+    return Pieces([p for p in lower if len(p) <= PIECE and p != "▁" and p.removeprefix("▁").isalpha()])
 
 
 class Lattice:
     """The pieces at every place of a list of words, for sums over all segmentations."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]):
+    def __init__(self, words: list[str], pieces: Pieces):
         self.n = len(words)
-        marked = ["▁" + w for w in words]
-        self.lens = np.fromiter(map(len, marked), np.int64, self.n)
-        self.width = int(self.lens.max(initial=0))
-        get, ends, starts, which, ids = pieces.get, [], [], [], []
-        for w, word in enumerate(marked):
-            for end in range(1, len(word) + 1):
-                for start in range(max(0, end - PIECE), end):
-                    found = get(word[start:end])
-                    if found is not None:
-                        ends.append(end)
-                        starts.append(start)
-                        which.append(w)
-                        ids.append(found)
-        end, start, which, ids = (np.array(x, np.int64) for x in (ends, starts, which, ids))
-        # One group of edges for each end and length, so that each has a word at most once.
-        order = np.lexsort((start, end))
+        marked = np.array(["▁" + w for w in words], dtype=np.str_)
+        lens = np.char.str_len(marked).astype(np.int64)
+        # The longest words first, so that those that reach a place are always the first ones.
+        self.order = np.argsort(-lens, kind="stable")
+        self.lens = lens[self.order]
+        self.width = int(lens.max(initial=0))
+        letters = marked[self.order].view(np.uint32).reshape(self.n, -1) if self.n else np.zeros((0, 0), np.uint32)
+        sums = np.zeros((self.width + 1, self.n), np.uint64)
+        for i in range(self.width):
+            sums[i + 1] = sums[i] * np.uint64(_BASE) + letters[:, i] + np.uint64(1)
         self.edges = []
-        for part in np.split(order, np.flatnonzero(np.diff(end[order] * 64 + start[order])) + 1) if order.size else ():
-            self.edges.append((int(start[part[0]]), int(end[part[0]]), which[part], ids[part]))
+        for end in range(1, self.width + 1):
+            reach = int(np.searchsorted(-self.lens, -end, side="right"))
+            for start in range(max(0, end - PIECE), end):
+                which, ids = pieces.find(sums[end, :reach] - sums[start, :reach] * np.uint64(pow(_BASE, end - start, 2**64)))
+                if which.size:
+                    self.edges.append((start, end, which, ids))
+
+    def _restored(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[self.order] = values
+        return out
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Sums over all segmentations of every prefix: (word, place, language)."""
@@ -87,7 +118,7 @@ class Lattice:
 
     def totals(self, probability: np.ndarray) -> np.ndarray:
         """The likelihood of every word: (word, language)."""
-        return self.forward(probability)[np.arange(self.n), self.lens]
+        return self._restored(self.forward(probability)[np.arange(self.n), self.lens])
 
     def expected(self, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of every piece, each word counting ``weight`` times (one language)."""
@@ -101,14 +132,14 @@ class Lattice:
                 start, _, which, ids = self.edges[at]
                 beta[which, start] += beta[which, end] * probability[ids]
                 at -= 1
-        scale = weight / alpha[np.arange(self.n), self.lens]
+        scale = weight[self.order] / alpha[np.arange(self.n), self.lens]
         out = np.zeros(probability.size)
         for start, end, which, ids in self.edges:
             out += np.bincount(ids, alpha[which, start] * probability[ids] * beta[which, end] * scale[which], probability.size)
         return out
 
 
-def fit(counts: dict[str, Counter], pieces: dict[str, int]) -> tuple[list[str], np.ndarray]:
+def fit(counts: dict[str, Counter], pieces: Pieces) -> tuple[list[str], np.ndarray]:
     """Languages by name and the probability of every piece under each: (piece, language)."""
     names = sorted(counts)
     columns = []
@@ -127,7 +158,7 @@ def fit(counts: dict[str, Counter], pieces: dict[str, int]) -> tuple[list[str],
 class Scorer:
     """Scores texts, remembering the log-likelihoods of recent words."""
 
-    def __init__(self, names: list[str], probability: np.ndarray, pieces: dict[str, int]):
+    def __init__(self, names: list[str], probability: np.ndarray, pieces: Pieces):
         self.names, self.probability, self.pieces = names, probability, pieces
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, len(names)))

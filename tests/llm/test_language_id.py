@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from batchloom.llm.language_id import FLOOR, Lattice, identify
+from batchloom.llm.language_id import FLOOR, Lattice, Pieces, identify
 from batchloom.llm.queries import tokenizer_path
 
 PIECES = {"▁": 0, "▁a": 1, "a": 2, "ab": 3, "b": 4, "aba": 5}
@@ -29,7 +29,7 @@ def test_forward_and_expected_match_enumeration():
     words = ["a", "ab", "abab", "bbaba", "é", "aéb"]
     rng = np.random.default_rng(1)
     p = rng.random((6, 2))
-    lattice = Lattice(words, PIECES)
+    lattice = Lattice(words, Pieces(list(PIECES)))
     totals = lattice.totals(p)
     for w, row in zip(words, totals, strict=True):
         assert row == pytest.approx([every_way("▁" + w, p[:, k]) for k in range(2)])
