@@ -27,7 +27,7 @@ LG_K = 12
 
 def trimmed(line: Column) -> Column:
     """A line without blanks around it (space, tab, carriage return)."""
-    return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def line_key(line: Column) -> Column:
