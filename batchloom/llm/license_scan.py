@@ -75,7 +75,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[s
         if words := _words(text):
             by_length.setdefault(len(words), []).append((name, words))
     lower = F.lower("text")
-    found = spark.createDataFrame([], "doc_id long, license string, containment double, word long")
+    found = docs.where(F.lit(False)).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"))
     for length, group in sorted(by_length.items()):
         size, count = min(SHINGLE, length), shingle_count(length)
         marks = sorted({a for _, words in group for a in anchors(words)})
@@ -89,7 +89,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[s
         shingles = _shingles(F.col("words"), F.col("i"), F.least(F.lit(count), F.size("words") - F.lit(size - 1)), size)
         rows = rows.select("doc_id", "i", shingles.alias("shingles")).withColumn("minima", _minima(F.col("shingles")))
         rows = rows.select("doc_id", "i", "shingles", F.posexplode("minima").alias("band", "value"))
-        table = spark.createDataFrame([(name, words) for name, words in group], "license string, t_words array<string>")
+        listed = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(w) for w in words]).alias("t_words")) for name, words in group])
+        table = spark.range(1).select(F.explode(listed).alias("t")).select("t.*")
         table = table.select("license", _shingles(F.col("t_words"), F.lit(1), count, size).alias("t_shingles")).withColumn("t_minima", _minima(F.col("t_shingles")))
         table = table.select("license", "t_shingles", F.posexplode("t_minima").alias("t_band", "t_value"))
         rows = rows.join(table, (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
