@@ -235,23 +235,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     profiles = written(spark, texts.mapInArrow(_profile, _PROFILE), "near-profiles")
     usable = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    heads = usable.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_a").alias("a"), F.col("set_b").alias("b")), "doc_id")
-    heads = heads.where("set_a = a AND set_b = b").dropDuplicates(["doc_id", "set_a", "set_b"])
-    heads = written(spark, heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands"), "near-heads")
-
-    entries = heads.select(F.explode("bands").alias("key"), "id", "n")
-    crowded = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    entries = written(spark, entries.join(crowded.drop("c"), "key"), "near-entries")
-    wanted_ids = written(spark, entries.select("id").distinct(), "near-ids")
+    of_class = classes.select(F.col("rep").alias("id"), F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    heads = usable.select(F.col("doc_id").alias("id"), "set_a", "set_b", "bands").join(of_class, "id").where("set_a = a AND set_b = b")
+    entries = heads.select(F.explode("bands").alias("key"), "id")
+    crowded = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    stars = written(spark, entries.join(crowded, "key").where("leader <> id").select("id", "leader").distinct(), "near-stars")
+    wanted_ids = stars.select("id").union(stars.select("leader")).distinct()
     wanted = F.broadcast(wanted_ids) if wanted_ids.count() <= BROADCAST_IDS else wanted_ids
     chosen = texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
     if usable.count() > usable.select("doc_id").distinct().count():
         chosen = chosen.dropDuplicates(["id", "text"])
     sets = written(spark, chosen.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles binary"), "near-sets")
 
-    first = entries.where("leader <> id").groupBy(F.col("id").alias("v")).agg(F.min("leader").alias("u")).select("u", "v")
-    labels = _joined(spark, wanted_ids.withColumn("component", F.col("id")), _verified(spark, first, heads, sets))
-    clusters = connected_components(spark, entries.where("leader <> id").select(F.col("id").alias("u"), F.col("leader").alias("v")), "near-clusters")
+    first = stars.groupBy(F.col("id").alias("v")).agg(F.min("leader").alias("u")).select("u", "v")
+    sigs = usable.select(F.col("doc_id").alias("id"), "sig")
+    labels = _joined(spark, wanted_ids.withColumn("component", F.col("id")), _verified(spark, first, sigs, sets))
+    clusters = connected_components(spark, stars.select(F.col("id").alias("u"), F.col("leader").alias("v")), "near-clusters")
     labels = _joined(spark, labels, _rest(spark, labels, clusters, sets))
 
     found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
