@@ -54,18 +54,18 @@ def spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITE
 def remove_spread_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source") -> DataFrame:
     """``docs`` with cleaned ``text`` and two more columns, ``n_lines`` and ``n_removed``."""
     spread = written(spark, spread_lines(spark, docs, min_sites, site_col), "line-boilerplate")
-    lines = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.explode(F.split("text", "\n")).alias("line"))
-    hits = lines.select("d", "th", line_key(F.col("line")).alias("key")).join(spread, "key")
-    hits = hits.groupBy("d", "th").agg(F.collect_set("key").alias("gone"))
+    lines = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), F.explode(F.split("text", "\n")).alias("line"))
+    hits = lines.select("__d", "__h", line_key(F.col("line")).alias("key")).join(spread, "key")
+    hits = hits.groupBy("__d", "__h").agg(F.collect_set("key").alias("__gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*[F.col(c) for c in kept]).withColumn("__th", F.xxhash64("text"))
-    out = out.join(hits, out["doc_id"].eqNullSafe(hits["d"]) & (out["__th"] == hits["th"]), "left")
+    out = out.join(hits, out["doc_id"].eqNullSafe(hits["__d"]) & (out["__th"] == hits["__h"]), "left")
     out = out.withColumn("__lines", F.split("text", "\n"))
-    stay = F.filter("__lines", lambda x: ~F.array_contains(F.col("gone"), line_key(x)))
-    out = out.withColumn("__stay", F.when(F.col("gone").isNotNull(), stay).otherwise(F.col("__lines")))
+    stay = F.filter("__lines", lambda x: ~F.array_contains(F.col("__gone"), line_key(x)))
+    out = out.withColumn("__stay", F.when(F.col("__gone").isNotNull(), stay).otherwise(F.col("__lines")))
     blank = lambda lines: F.size(F.filter(lines, lambda x: trimmed(x) != ""))
     out = out.withColumn("__n", F.when(F.col("text").isNull(), 0).otherwise(blank("__lines")))
-    out = out.withColumn("__left", F.when(F.col("gone").isNull(), F.col("__n")).otherwise(blank("__stay")))
+    out = out.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("__n")).otherwise(blank("__stay")))
     cut = (F.col("__left") > 0) & (F.col("__left") < F.col("__n"))
     out = out.withColumn("__text", F.when(cut, F.array_join("__stay", "\n")).otherwise(F.col("text")))
     columns = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept]

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from batchloom.llm.line_dedup import remove_spread_lines
 
-SCHEMA = "doc_id long, text string, source string, n_lines string"
+SCHEMA = "doc_id long, text string, source string, n_lines string, gone string, key string"
 
 
 def brute(rows, least):
@@ -42,8 +42,8 @@ def test_matches_exact_counts(spark):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), f"s{site}", "x"))
     rows += [(200, None, "s1", "x"), (201, "line 13\nsolo", None, "x"), (202, "line 13", "s2", "x"), (None, "line 13\nmine", "s3", "x"), (3, rows[3][1], "s9", "x"), (203, "line 13\n" + "long " * 9000, "s1", "x")]
-    got = remove_spread_lines(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), min_sites=6)
-    assert got.columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
+    got = remove_spread_lines(spark, spark.createDataFrame([(*r, "y", "z") for r in rows], SCHEMA).repartition(3), min_sites=6)
+    assert got.columns == ["doc_id", "text", "source", "gone", "key", "n_lines", "n_removed"]
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=str) == brute(rows, 6)
 
 
