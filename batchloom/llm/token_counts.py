@@ -7,7 +7,7 @@ the number of initial symbols minus the number of merges. No token identifiers a
 Edge cases: null or empty texts count 0; a special token's string in a text counts as one token, as the
 library does by default; a very long pre-token costs O(n log n) and is not remembered; repeated rows give
 equal rows; an empty table gives an empty table; extra columns are ignored. Lone surrogates can't occur in
-Spark strings.
+Spark strings. Executors open the vocabulary file at the path given, as they do the library's own files.
 """
 
 from __future__ import annotations
