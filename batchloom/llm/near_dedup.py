@@ -10,7 +10,7 @@ least 0.75; groups are connected components.
 3. Each class is compared with the smallest class of its bands; links are verified by signature, then on the
    full sets, and components come from alternating large-star and small-star.
 4. Classes tied by shared bands, directly or through others, form a cluster. Where a cluster still has several
-   components, every class outside its largest component is compared with all of the cluster, in cells of at most
+   components, every class outside its largest component is compared with all of the cluster, in cells of about
    ``CELL`` by ``CELL`` classes: an index of the one side's shingles counts the common shingles of all pairs of a
    cell exactly, and only the components it joins come out. So no pair that shares a band stays unverified, unless it
    is connected anyway, and no pairs are written.
