@@ -1,7 +1,8 @@
-"""Shared helpers: the shared work folder, Arrow text access and vectorised word hashing."""
+"""Shared helpers: the shared work folder, joins on frequent keys, Arrow text access and vectorised word hashing."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,24 +10,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
-_BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_VALUE[65:91] = _BYTE_VALUE[97:123]  # A-Z count as a-z
 _SHINGLE_MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 2**64)
+_WORD_MULT = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
+_KEY = _rng.bytes(32)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[str, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words up to so many bytes are hashed all at once, longer ones one by one.
+_SHORT_WORD = 64
+#: At most so many keys are told apart as frequent, so lists of them may be broadcast.
+MOST_FREQUENT, LEAST_FREQUENT = 10_000, 64
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written stages: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
+    """The shared folder for written stages: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a fresh local folder (tests); a cluster raises, as its executors share no local folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="batchloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,6 +55,32 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, *stages: DataFrame) -> None:
+    """Remove stages made by ``written`` that nothing reads any more; other files are left alone."""
+    jvm, base = spark.sparkContext._jvm, work_dir(spark).split(":", 1)[-1].lstrip("/")
+    for stage in stages:
+        for folder in {f.rsplit("/", 1)[0] for f in stage.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(base + "/"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` on ``key``, the rows of a frequent key dealt over several tasks.
+
+    ``table`` has one row per key, and in ``n_rows`` how many rows have it. A key is frequent if more than
+    ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of them, and only these are
+    broadcast. Each is dealt, by a hash of the column ``by``, to as many tasks as its rows need; ``table`` is repeated for
+    these keys, at most twice ``MOST_FREQUENT`` times in all. Keys are not null.
+    """
+    share = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
+    deals = table.where(F.col("n_rows") > share).select(*key, F.ceil(F.col("n_rows") / share).cast("int").alias("__deals"))
+    rows = rows.join(F.broadcast(deals), key, "left").withColumn("__deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("__deals")).cast("int"), F.lit(0))).drop("__deals")
+    last = F.when(F.col("n_rows") > share, F.ceil(F.col("n_rows") / share).cast("int") - 1).otherwise(0)
+    table = table.withColumn("__deal", F.explode(F.sequence(F.lit(0), last))).drop("n_rows")
+    return rows.join(table, [*key, "__deal"], how).drop("__deal")
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, and the n + 1 offsets of its values; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,15 +105,6 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or have.size < n:
-        step = np.full(max(n, CHUNK_BYTES + 2), base, np.uint64)
-        step[0] = 1
-        have = _powers[name] = np.multiply.accumulate(step)
-    return have[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on all."""
     x = x ^ (x >> np.uint64(33))
@@ -89,7 +118,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, A-Z lower-cased.
 
-    Returns the hashes in text order and, for each text, how many it has.
+    Eight bytes at a time are mixed in; words over 64 bytes have a keyed BLAKE2b hash. Returns the hashes in text order
+    and, for each text, how many it has.
     """
     n_docs = len(offsets) - 1
     if data.size == 0:
@@ -106,15 +136,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = inner[1:]
     last = offsets[1:-1] - 1
     after[last[last >= 0]] = False
-    ends = np.flatnonzero(inner & ~after) + 1
-    n = data.size
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * _table("up", _R, n), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _table("down", _R_INV, n)[starts]
-    hashes = mixed(hashes + (ends - starts).astype(np.uint64))
-    where = np.searchsorted(starts, offsets)
-    return hashes, np.diff(where)
+    lens = np.flatnonzero(inner & ~after) + 1 - starts
+    lower = np.zeros(data.size + 8, np.uint8)
+    lower[: data.size] = _LOWER[data]
+    eight = np.ndarray((data.size,), "<u8", lower, strides=(1,))
+    hashes = mixed(lens.astype(np.uint64) * _WORD_MULT[0])
+    some = np.arange(starts.size)
+    for at in range(0, _SHORT_WORD, 8):
+        if at:
+            some = some[lens[some] > at]
+        if not some.size:
+            break
+        part = eight[starts[some] + at] & _MASK[np.minimum(lens[some] - at, 8)]
+        hashes[some] = mixed((hashes[some] ^ part) * _WORD_MULT[1] + _WORD_MULT[2])
+    for i in np.flatnonzero(lens > _SHORT_WORD).tolist():
+        raw = lower[starts[i] : starts[i] + lens[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=_KEY).digest(), "little")
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Repeated passages: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Texts are dealt to blocks by document id once; everything else moves as packed arrays between blocks and buckets.
+Texts are dealt to blocks by a hash of id and text once; everything else moves as packed arrays between blocks and buckets.
 
 1. A block cuts its texts into runs of windows that share a minimizer: the smallest hash of the 24-byte strings in
    the window. Equal windows have equal minimizers, so they always meet in the bucket that the minimizer names.
@@ -12,16 +12,17 @@ Texts are dealt to blocks by document id once; everything else moves as packed a
    the others. Adjacent common prefixes then show which windows are equal, and the smallest document of each.
 4. The block marks the windows whose smallest document is smaller than their own, and cuts the covered bytes.
 
-Exact copies of a whole text are found first by SHA-256; they take no part, as all their windows start in
-the first copy. The result is exact: hashes only choose where strings meet, bytes decide.
+Exact copies of a whole text are found first by SHA-256, very frequent ones in several tasks; they take no part, as
+all their windows start in the first copy. The result is exact: hashes only choose where strings meet, bytes decide.
 
 Edge cases: a null text is empty; texts under 50 bytes lose nothing; rows with the same id are the same document,
-so they don't cut each other; a row without an id neither cuts nor is cut; an empty table gives an empty
+so they don't cut each other, whether their texts are equal or not; a row without an id neither cuts nor is cut; an empty table gives an empty
 table; extra columns are ignored; a long text is many runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import mixed, pieces, utf8_column
+from batchloom.llm.common import mixed, pieces, spread_join, utf8_column, written
 
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
@@ -232,12 +233,17 @@ class Block:
         docs = docs.select(["doc_id", "text"]).combine_chunks()
         docs = docs.take(pa.compute.sort_indices(docs, [("doc_id", "ascending"), ("text", "ascending")]))
         kind = mail.column("kind").to_numpy()
-        copies = mail.column("id").filter(pa.array(kind == COPY)).to_numpy()
+        copies = mail.filter(pa.array(kind == COPY)).select(["id", "a"])
         self.mail = {k: mail.filter(pa.array(kind == k)).sort_by("bucket") for k in (FLAGS, ANSWER)}
         self.ids = docs.column("doc_id")
         self.data, self.offsets = utf8_column(docs.column("text").combine_chunks())
         doc_ids = self.ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        self.copy = np.isin(doc_ids, copies) & (np.diff(self.offsets) >= WINDOW)
+        self.copy = np.zeros(len(doc_ids), bool)
+        # An id may have several texts, so a copy is known by its id and the SHA-256 of its text.
+        prints = set(zip(copies.column("id").to_pylist(), copies.column("a").to_pylist(), strict=True))
+        for i in np.flatnonzero(np.isin(doc_ids, copies.column("id").to_numpy())).tolist():
+            text = self.data[self.offsets[i] : self.offsets[i + 1]]
+            self.copy[i] = (int(doc_ids[i]), hashlib.sha256(text).digest()) in prints
         found = []
         for a, b in pieces(self.offsets):
             lo = self.offsets[a]
@@ -406,7 +412,8 @@ def _cut(buckets: int):
         starts, stops, kept = [], [], []
         for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
             # A removed stretch may run on into the next text of the block.
-            i, j = np.searchsorted(to, lo, side="right"), np.searchsorted(at, hi)
+            i = np.searchsorted(to, lo, side="right")
+            j = np.searchsorted(at, hi) if lo < hi else i
             starts.append((np.maximum(at[i:j], lo) - lo).tolist())
             stops.append((np.minimum(to[i:j], hi) - lo).tolist())
             own = block.data[lo:hi]
@@ -422,13 +429,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block_bytes = min(MOST_BLOCK_BYTES, int(BLOCK_BYTES * max(1.0, math.sqrt(total / 1e9))))
     blocks, buckets = max(4, -(-total // block_bytes)), max(4, -(-total // BUCKET_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-
-    prints = texts.where((F.octet_length("text") >= WINDOW) & F.col("doc_id").isNotNull()).select("doc_id", F.unhex(F.sha2("text", 256)).alias("print"))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = prints.join(firsts, "print").where("doc_id > first").select("doc_id")
-    nothing = [F.lit(None).cast("binary").alias(c) for c in "abcd"]
-    copies = copies.select(block.alias("block"), F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), F.col("doc_id").alias("id"), *nothing)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+
+    prints = texts.where((F.octet_length("text") >= WINDOW) & F.col("doc_id").isNotNull())
+    prints = written(spark, prints.select("doc_id", F.unhex(F.sha2("text", 256)).alias("print"), block.alias("block")), "repeat-prints")
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows")).where("first < last")
+    firsts = written(spark, firsts.drop("last"), "repeat-firsts")
+    copies = spread_join(prints, firsts, ["print"], "doc_id", prints.count()).where("doc_id > first")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in "bcd"]
+    copies = copies.select("block", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), F.col("doc_id").alias("id"), F.col("print").alias("a"), *nothing)
 
     dealt = texts.select(block.alias("block"), "doc_id", "text").groupBy("block")
     asked = dealt.cogroup(copies.groupBy("block")).applyInArrow(_ask(buckets), ASK)

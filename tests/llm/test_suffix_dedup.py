@@ -66,5 +66,39 @@ def test_removed_bytes_match_brute_force(spark, monkeypatch, hot):
     assert sorted(((r[0], r[1], list(r[2]), list(r[3]), bytes(r[4])) for r in got), key=str) == brute(rows)
 
 
+def removed(spark, rows):
+    got = sd.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted(((r[0], r[1], list(r[2]), list(r[3]), bytes(r[4])) for r in got), key=str)
+
+
+def test_an_id_with_several_texts(spark):
+    """A copy is a row, not an id: only the row whose text is a copy loses it."""
+    a, b = "".join(map(str, range(90))), "".join(chr(97 + i * i % 26) for i in range(200))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, a), (2, a)]
+    assert removed(spark, rows) == brute(rows)
+
+
+def test_empty_text_amid_removed_ones(spark):
+    """Rows of one block follow each other by id, so a removed stretch may go on past an empty text."""
+    t = "".join(map(str, range(60)))
+    rows = [(1, t), *((i, t if i % 2 else None) for i in range(2, 40))]
+    assert removed(spark, rows) == brute(rows)
+
+
+def test_long_text(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(5, long), (6, long[1000:200_000] + "x"), (7, "z" * 100_000), (8, "z" * 60)]
+    assert removed(spark, rows) == brute(rows)
+
+
+def test_many_copies_of_one_text(spark, monkeypatch):
+    from batchloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_FREQUENT", 3)
+    rows = [(i, "the same text of more than fifty bytes, " * 3) for i in range(40)] + [(50, "another text of more than fifty bytes altogether, alone")]
+    assert removed(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
