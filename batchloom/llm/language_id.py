@@ -5,28 +5,31 @@ expectation maximisation: forward and backward sums over all segmentations of a
 piece. A text's likelihood under a language is the product over its words of the forward sum over all
 segmentations; the prediction is the most likely language, its score the posterior under equal priors.
 
-Words are runs of letters in lower case, up to ``WORD`` letters long (a longer run counts as several words). Learning
-uses at most ``SAMPLE`` documents per language, of at most ``SAMPLE_CHARS`` characters each, those with the smallest
-hash of their id among the documents whose CRC-32 of the id is not divisible by five; that bound is the parameter.
+Words are runs of letters (Unicode category L) in lower case, up to ``WORD`` letters long (a longer run counts as several
+words). Learning uses at most ``SAMPLE`` rows per language, of at most ``SAMPLE_CHARS`` characters each, those with the
+smallest hash of their id among the documents whose CRC-32 of the id is not divisible by five, and the ``LANGUAGES``
+languages with the most such rows (ties by name). These bounds are parameters, and hold whatever repeats.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0, as is every text if nothing could be learned;
-letters outside the vocabulary have a small fixed probability; equally likely languages go by name; a row without an
+digits, numerals such as ``½`` or ``Ⅷ`` and emoji are no letters; letters outside the vocabulary have a small fixed probability; equally likely languages go by name; a row without an
 id is held out; repeated rows give equal rows; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 300, 20_000
+from batchloom.llm.common import written
+
+SAMPLE, SAMPLE_CHARS, LANGUAGES = 300, 20_000, 200
 WORD, PIECE = 32, 10
 FLOOR, SMOOTH, ROUNDS = 1e-8, 0.05, 3
 REMEMBER = 250_000
@@ -34,7 +37,7 @@ ROWS = 1_000
 UNKNOWN = "und"
 _BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-words_of = re.compile(rf"[^\W\d_]{{1,{WORD}}}").findall
+words_of = regex.compile(rf"\p{{L}}{{1,{WORD}}}").findall
 
 
 class Pieces:
@@ -196,12 +199,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample_words(docs: DataFrame) -> dict[str, Counter]:
+def sample_words(spark: SparkSession, docs: DataFrame) -> dict[str, Counter]:
     """Words of the learning sample, by language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("th"))
+    # Ids may repeat, with one text or several; equal rows are one row of the sample.
+    distinct = written(spark, known.select("doc_id", "lang", "th").distinct(), "language-rows")
+    most = distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
+    chosen = distinct.join(F.broadcast(most), "lang", "left_semi").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).drop("rank")
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang", "th"], "left_semi").dropDuplicates(["doc_id", "lang", "th"]).select("lang", "text")
     out: dict[str, Counter] = {}
     for row in rows.toLocalIterator():
         out.setdefault(row["lang"], Counter()).update(words_of(row["text"].lower()))
@@ -211,7 +218,7 @@ def sample_words(docs: DataFrame) -> dict[str, Counter]:
 def _predictor(spark: SparkSession, docs: DataFrame, vocabulary_path: str) -> Callable[[], Scorer]:
     """Learn from ``docs``; what it returns gives each worker process its scorer."""
     pieces = vocabulary(vocabulary_path)
-    model, key = spark.sparkContext.broadcast((*fit(sample_words(docs), pieces), pieces)), uuid.uuid4().hex
+    model, key = spark.sparkContext.broadcast((*fit(sample_words(spark, docs), pieces), pieces)), uuid.uuid4().hex
 
     def scorer() -> Scorer:
         if key not in _scorers:
