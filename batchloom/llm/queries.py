@@ -107,20 +107,29 @@ FROM z WHERE c >= {license_scan.CONTAINMENT} GROUP BY doc_id, license
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its record as read back, and its place in the merged index."""
     out = warc.archive_pages(spark, _table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "rank")
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH p AS (
-  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
-    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+  SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner,
+    lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query
   FROM pages
+), k AS (
+  SELECT *, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id & 268435455), '%Y%m%d%H%M%S') AS ts,
+    CASE WHEN coalesce(url, '') = '' THEN '-' ELSE lower(array_to_string(list_reverse(string_split(regexp_replace(host, '^www\.', ''), '.')), ',') || ')'
+      || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END) END AS url_key
+  FROM p
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 1000 AND owner <> page_id THEN owner END AS refers_to
-FROM p
+  CASE WHEN n >= 1000 AND owner <> page_id THEN owner END AS refers_to, url_key, ts,
+  row_number() OVER (ORDER BY url_key, ts, page_id NULLS FIRST) AS rank
+FROM k
 """
 
 

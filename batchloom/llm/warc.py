@@ -3,16 +3,21 @@
 ``write_archives`` writes one record per page into gzipped WARC 1.1 files in the shared folder; each file is a
 run of index entries sorted by URL key, timestamp and page. ``merge_index`` deals the entries by key range and
 merges the runs of each range with a loser tree, at most ``FAN_IN`` at a time, so the ranges in order hold the
-whole capture history in order. ``read_archives`` reads the files back, record by record.
+whole capture history in order; ``ranked`` numbers the entries in this order. ``read_archives`` reads the files back,
+record by record.
 
 Of records with equal payloads of at least 1000 bytes, the one with the largest page id is the response and the
-others revisit it; smaller ones are all responses.
+others revisit it; smaller ones are all responses. Who revisits whom is found from ids and hashes alone. A revisit is
+written from these, too: only the payload of a response is read on, and none is moved for this but to tell responses
+from revisits by page id and hash.
+
+The order is that of the URL key's code points, then the time, then the page id, a missing one first.
 
 Edge cases: null html is an empty payload; a null URL has the key ``-`` and no target header, and line breaks in
 URLs are escaped; rows with the response's page id are responses too; a row without a page id is never
-the response of others; without a timestamp column the capture time is 2024-01-01 plus the page id in seconds; a
-very long page is one record; an empty table gives empty tables; extra columns are ignored. Files of lost
-or repeated tasks stay unread, as only files of the written index are opened.
+the response of others; without a timestamp column the capture time is 2024-01-01 plus the page id modulo 2^28 in
+seconds, so any 64-bit id has one; a very long page is one record; an empty table gives empty tables; extra columns are
+ignored. Files of lost or repeated tasks stay unread, as only files of the written index are opened.
 """
 
 from __future__ import annotations
@@ -28,16 +33,16 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import stage_path, written
+from batchloom.llm.common import spread_join, stage_path, written
 
 LEAST_REVISIT = 1000
 RUN_BYTES, RUN_ROWS = 32 << 20, 50_000
 FAN_IN = 16
-RANGE_ROWS = 50_000
-EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+RANGE_ROWS, MOST_RANGES = 50_000, 100_000
+EPOCH, EPOCH_SECONDS = datetime(2024, 1, 1, tzinfo=UTC), 2**28
 
 ENTRY = "url_key string, ts string, page_id long, file string, offset long, length long, run string, seq long"
 _ENTRY_ARROW = pa.schema([("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("run", pa.string()), ("seq", pa.int64())])
@@ -62,9 +67,9 @@ def _clean(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)
 
 
-def record_bytes(page_id: int | None, url: str | None, when: str, payload: bytes, digest: bytes, owner: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, when: str, payload: bytes, size: int, digest: bytes, owner: int | None) -> bytes:
     """One WARC record; a revisit of ``owner`` keeps the HTTP head but not the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if owner is not None else http + payload
     lines = [
         "WARC/1.1",
@@ -108,21 +113,22 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         def closed() -> pa.RecordBatch:
             out.close()
-            entries.sort(key=lambda e: (e["url_key"], e["ts"], e["page_id"] is None, e["page_id"] or 0, e["offset"]))
+            entries.sort(key=lambda e: (e["url_key"], e["ts"], e["page_id"] is not None, e["page_id"] or 0, e["offset"]))
             for seq, e in enumerate(entries):
                 e["seq"] = seq
             return pa.RecordBatch.from_pylist(entries, schema=_ENTRY_ARROW)
 
         for batch in batches:
-            for page_id, url, html, ts, owner in zip(*batch.columns, strict=True):
+            for page_id, url, html, ts, owner, size, sha1 in zip(*batch.columns, strict=True):
                 page_id, url, owner = page_id.as_py(), url.as_py(), owner.as_py()
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                digest = bytes.fromhex(sha1.as_py()) if sha1.is_valid else hashlib.sha1(payload).digest()
                 if out is None:
                     name = f"{base}/{part:06d}-{uuid.uuid4().hex}.warc.gz"
                     fs.create_dir(base, recursive=True)
                     out, entries, at = fs.open_output_stream(name, compression=None), [], 0
-                when = ts.as_py() or (EPOCH + timedelta(seconds=page_id or 0))
-                raw = record_bytes(page_id, url, when.strftime("%Y-%m-%dT%H:%M:%SZ"), payload, hashlib.sha1(payload).digest(), owner)
+                when = ts.as_py() or (EPOCH + timedelta(seconds=(page_id or 0) % EPOCH_SECONDS))
+                raw = record_bytes(page_id, url, when.strftime("%Y-%m-%dT%H:%M:%SZ"), payload, size.as_py() if size.is_valid else len(payload), digest, owner)
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                 member = packer.compress(raw) + packer.flush()
                 out.write(member)
@@ -143,11 +149,21 @@ def write_archives(spark: SparkSession, pages: DataFrame, ts_col: str | None = N
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     ts = F.col(ts_col).cast("timestamp_ntz") if ts_col else F.lit(None).cast("timestamp_ntz")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), ts.alias("ts"))
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha2("html", 256)))
-    owners = rows.where("key IS NOT NULL").groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("c")).where("c > 1")
-    rows = rows.join(owners.select(F.col("key").alias("k"), "owner"), F.col("key") == F.col("k"), "left")
-    owner = F.when(F.col("page_id").eqNullSafe(F.col("owner")), None).otherwise(F.col("owner"))
-    return written(spark, rows.select("page_id", "url", "html", "ts", owner.alias("owner")).mapInArrow(_writer(folder), ENTRY), "warc-runs"), folder
+    large = F.octet_length("html") >= LEAST_REVISIT
+    hashes = rows.where(large).select("page_id", "url", "ts", F.octet_length("html").cast("long").alias("size"), F.sha1("html").alias("sha1"), F.sha2("html", 256).alias("key"))
+    hashes = written(spark, hashes, "warc-hashes")
+    owners = hashes.groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    revisits = spread_join(hashes, written(spark, owners, "warc-owners"), ["key"], "url", hashes.count())
+    revisits = written(spark, revisits.where("owner IS NOT NULL AND NOT page_id <=> owner"), "warc-revisits")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("owner", "long"), ("size", "long"), ("sha1", "string"))]
+    small = rows.where(~large).select("page_id", "url", "html", "ts", *nothing)
+    # The ids are made numbers, so that rows without one don't meet in one task.
+    gone = revisits.select(F.col("page_id").alias("p"), F.col("key").alias("k")).distinct()
+    first = rows.where(large).withColumn("key", F.sha2("html", 256))
+    first = first.join(gone, (F.coalesce("page_id", F.lit(-1)) == F.coalesce("p", F.lit(-1))) & first["page_id"].eqNullSafe(gone["p"]) & (F.col("key") == F.col("k")), "left_anti")
+    first = first.select("page_id", "url", "html", "ts", *nothing)
+    again = revisits.select("page_id", "url", F.lit(None).cast("binary").alias("html"), "ts", "owner", "size", "sha1")
+    return written(spark, small.unionByName(first).unionByName(again).mapInArrow(_writer(folder), ENTRY), "warc-runs"), folder
 
 
 class LoserTree:
@@ -202,9 +218,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if run != last:
                 runs.append([])
                 last = run
-            runs[-1].append((key, ts, page is None, page or 0, file, offset, length))
+            runs[-1].append((key, ts, page is not None, page or 0, file, offset, length))
     for lo, rows in enumerate(_chunks(merged(runs), 10_000)):
-        key, ts, none, page, file, offset, length = zip(*rows, strict=True)
+        key, ts, some, page, file, offset, length = zip(*rows, strict=True)
         n = len(rows)
         yield pa.RecordBatch.from_pydict(
             {
@@ -212,7 +228,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "position": pa.array(range(lo * 10_000, lo * 10_000 + n), pa.int64()),
                 "url_key": pa.array(key),
                 "ts": pa.array(ts),
-                "page_id": pa.array([None if z else p for z, p in zip(none, page, strict=True)], pa.int64()),
+                "page_id": pa.array([p if z else None for z, p in zip(some, page, strict=True)], pa.int64()),
                 "file": pa.array(file),
                 "offset": pa.array(offset, pa.int64()),
                 "length": pa.array(length, pa.int64()),
@@ -233,13 +249,24 @@ def _chunks(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
 
 def merge_index(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """The index in global order: by ``range``, then ``position`` in it."""
-    ranges = max(1, -(-entries.count() // RANGE_ROWS))
+    ranges = min(MOST_RANGES, max(1, -(-entries.count() // RANGE_ROWS)))
     dealt = entries.repartitionByRange(ranges, "url_key", "ts", "page_id", "offset").sortWithinPartitions("run", "seq")
     return dealt.select("url_key", "ts", "page_id", "file", "offset", "length", "run").mapInArrow(
         _merge, "range long, position long, url_key string, ts string, page_id long, file string, offset long, length long"
     )
 
 
+def ranked(spark: SparkSession, index: DataFrame) -> DataFrame:
+    """The merged index with ``rank``, the place of every entry in the whole order, from 1 on; written once.
+
+    The order inside a range is the merge's own; what is summed are the sizes of the ranges, a row each.
+    """
+    index = written(spark, index, "warc-index")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = index.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return index.join(sizes, "range").withColumn("rank", F.col("start") + F.col("position") + 1).drop("start")
+
+
 def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def members(stream) -> Iterator[tuple[int, bytes]]:
         """Offset and content of every gzip member."""
@@ -279,8 +306,8 @@ def read_archives(spark: SparkSession, entries: DataFrame, folder: str) -> DataF
 def archive_pages(spark: SparkSession, pages: DataFrame, ts_col: str | None = None) -> DataFrame:
     """Write, index and read back; one row per page with its place in the global capture order."""
     entries, folder = write_archives(spark, pages, ts_col)
-    index = merge_index(spark, entries).select(F.col("file").alias("f"), F.col("offset").alias("o"), "range", "position", "url_key", "ts")
+    index = ranked(spark, merge_index(spark, entries)).select(F.col("file").alias("f"), F.col("offset").alias("o"), "range", "position", "rank", "url_key", "ts")
     records = read_archives(spark, entries, folder)
     # What Python reads has no size estimate, so neither side may be broadcast.
     out = records.hint("merge").join(index.hint("merge"), (F.col("file") == F.col("f")) & (F.col("offset") == F.col("o")))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range", "position")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range", "position", "rank")
