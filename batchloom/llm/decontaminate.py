@@ -1,11 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and items are sequences of words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document and an item
-are compared if they share a seed, that is five words in a row (all words of a shorter item). Tiling then
-repeatedly marks the longest common stretches that don't overlap, found by running Karp-Rabin hashes, down to
+are compared if they share seeds, that is five words in a row (all words of a shorter item), enough of them to
+reach the threshold. Tiling then repeatedly marks the longest common stretches that don't overlap, down to
 seed length; as each tile may lie anywhere, reordered passages count in full. A document is contaminated if the
 tiles cover at least ``THRESHOLD`` of an item's words.
 
+Running Karp-Rabin hashes of one length tell where item and text agree on so many words. The longest length is found by
+bisection, as a common stretch has common stretches of every lesser length; then all tiles of that length are marked in
+order of the item, each hash's places in the text being passed once. The lengths of tiles differ at most
+sqrt(2 x item words) times, so the cost is that many times log(item words) passes over the text, whatever repeats in it.
+
 Items are read in blocks of at most ``BLOCK_WORDS`` words; each block is sent to the executors and held against all
 documents, so what is sent has a fixed bound and no item or document is left out.
 
@@ -28,70 +33,106 @@ SEED, THRESHOLD = 5, 0.5
 BLOCK_WORDS = 1_000_000
 SCHEMA = "doc_id long, item_id long, item_words long, covered long, coverage double, n_tiles long, longest long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("covered", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64())])
-_MOD, _BASE = (1 << 61) - 1, 0x1F3D5B79
-
-
-def _open_runs(marked: list[bool], least: int) -> Iterator[tuple[int, int]]:
-    """Unmarked stretches of at least so many words."""
-    start = None
-    for i, m in enumerate([*marked, True]):
-        if not m and start is None:
-            start = i
-        elif m and start is not None:
-            if i - start >= least:
-                yield start, i
-            start = None
-
-
-def _rolling(words: list[int], start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
-    """Place and Karp-Rabin hash of every stretch of ``size`` words."""
-    top, h = pow(_BASE, size - 1, _MOD), 0
-    for i in range(start, end):
-        if i - start >= size:
-            h = (h - words[i - size] * top) % _MOD
-        h = (h * _BASE + words[i]) % _MOD
-        if i - start >= size - 1:
-            yield i - size + 1, h
-
-
-def greedy_tiles(item: list[int], text: list[int], least: int, closed: list[bool] | None = None) -> list[tuple[int, int, int]]:
+#: Two prime moduli below 2^31 and a base for each; a pair of hashes is one number of 62 bits.
+_MODULI, _BASES = (2_147_483_647, 2_147_483_629), (1_236_547_811, 987_654_319)
+
+
+class Rolling:
+    """Running Karp-Rabin hashes of all stretches of a sequence, of any length."""
+
+    _powers: list[np.ndarray] = [np.ones(1, np.int64) for _ in _MODULI]
+
+    def __init__(self, words: np.ndarray):
+        self.n = words.size
+        self.sums = []
+        for k, mod in enumerate(_MODULI):
+            power = self._power(k, self.n)
+            sums = np.zeros(self.n + 1, np.int64)
+            # Terms are below 2^31, so sums over up to 2^32 words don't overflow.
+            np.cumsum((words + 1) * power % mod, out=sums[1:])
+            self.sums.append(sums)
+
+    @classmethod
+    def _power(cls, k: int, n: int) -> np.ndarray:
+        have, mod = cls._powers[k], _MODULI[k]
+        while have.size < n:
+            have = np.concatenate([have, have * int(have[-1] * _BASES[k] % mod) % mod])
+        cls._powers[k] = have
+        return have[:n]
+
+    def hashes(self, at: np.ndarray, size: int, top: int) -> np.ndarray:
+        """Of the stretches of ``size`` words from each place on; ``top`` is at least the last place of both sequences."""
+        out = []
+        for k, (sums, mod) in enumerate(zip(self.sums, _MODULI, strict=True)):
+            out.append((sums[at + size] - sums[at]) % mod * self._power(k, top + 1)[top - at] % mod)
+        return (out[0] << 31) | out[1]
+
+
+def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int, closed: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in text, length): longest first, none overlapping, ``least`` words or more.
 
-    ``closed`` marks words of the text that can't be in a tile.
+    Equally long ones come first in the item, then in the text. Words are numbers below 2^31 - 1; ``closed`` marks words
+    of the text that can't be in a tile.
     """
-    in_item, in_text = [False] * len(item), list(closed) if closed else [False] * len(text)
+    item, text = np.asarray(item, np.int64), np.asarray(text, np.int64)
+    in_item, in_text = np.zeros(item.size, bool), np.zeros(text.size, bool) if closed is None else closed.copy()
+    of_item, of_text, top = Rolling(item), Rolling(text), max(item.size, text.size)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(20, len(item)))
-    while True:
-        table: dict[int, list[int]] = {}
-        for a, b in _open_runs(in_text, size):
-            for at, h in _rolling(text, a, b, size):
-                table.setdefault(h, []).append(at)
-        matches, longest = [], 0
-        for a, b in _open_runs(in_item, size):
-            for p, h in _rolling(item, a, b, size):
-                for t in table.get(h, ()):
-                    k = 0
-                    while p + k < b and t + k < len(text) and not in_text[t + k] and item[p + k] == text[t + k]:
-                        k += 1
-                    if k >= size:
-                        matches.append((-k, p, t))
-                        longest = max(longest, k)
-        if longest > 2 * size:
-            size = longest
-            continue
-        matches.sort()
-        for k, p, t in matches:
-            k = -k
-            if not any(in_item[p : p + k]) and not any(in_text[t : t + k]):
-                in_item[p : p + k] = in_text[t : t + k] = [True] * k
-                tiles.append((p, t, k))
-        # What a longer tile has cut is searched again before the size goes down.
-        if matches:
-            continue
-        if size == least:
-            return tiles
-        size = max(least, size // 2)
+
+    def open_places(marked: np.ndarray, size: int) -> np.ndarray:
+        """Where stretches of ``size`` words without a mark begin."""
+        if marked.size < size:
+            return np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(marked)])
+        return np.flatnonzero(sums[size:] == sums[:-size])
+
+    def agreeing(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of open stretches of the text that are also in the item, and of the item's, both by hash and place."""
+        p, t = open_places(in_item, size), open_places(in_text, size)
+        hp, ht = of_item.hashes(p, size, top), of_text.hashes(t, size, top)
+        order = np.argsort(hp, kind="stable")
+        p, hp = p[order], hp[order]
+        if not p.size:
+            return p, hp, t[:0], ht[:0]
+        common = hp[np.minimum(np.searchsorted(hp, ht), hp.size - 1)] == ht
+        t, ht = t[common], ht[common]
+        order = np.argsort(ht, kind="stable")
+        return p, hp, t[order], ht[order]
+
+    most = min(item.size, text.size)
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if agreeing(middle)[2].size else (low, middle - 1)
+        if low < least:
+            break
+        p, hp, t, ht = agreeing(low)
+        shared = np.isin(hp, ht)
+        p, hp = p[shared], hp[shared]
+        begin, end = np.searchsorted(ht, hp), np.searchsorted(ht, hp, side="right")
+        in_order = np.argsort(p, kind="stable")
+        passed: dict[int, int] = {}
+        free = 0
+        for i in in_order.tolist():
+            at = int(p[i])
+            if at < free:
+                continue
+            where, stop = passed.get(int(begin[i]), int(begin[i])), int(end[i])
+            # A place is shut for good once a tile of this length has one of its ends.
+            while where < stop and (in_text[t[where]] or in_text[t[where] + low - 1]):
+                where += 1
+            found = where
+            while found < stop and not np.array_equal(item[at : at + low], text[t[found] : t[found] + low]):
+                found += 1
+            passed[int(begin[i])] = where
+            if found < stop and not (in_text[t[found]] or in_text[t[found] + low - 1]):
+                place = int(t[found])
+                in_item[at : at + low] = in_text[place : place + low] = True
+                tiles.append((at, place, low))
+                free = at + low
+        most = low - 1
+    return tiles
 
 
 class Items:
@@ -101,44 +142,54 @@ class Items:
         data, offsets = utf8_column(pa.array([t for _, t in rows], pa.string()))
         words, counts = word_hashes(data, offsets)
         ends = np.cumsum(counts)
-        self.ids = [i for i, _ in rows]
+        self.ids, self.sizes = [i for i, _ in rows], counts
         self.words = [words[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
         seeds, have = shingle_hashes(words, counts, SEED)
         owner = np.repeat(np.arange(len(rows)), have)
         short = np.repeat(counts < SEED, have)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.seeds = np.split(seeds, np.cumsum(have)[:-1])
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         # An item shorter than a seed is looked for as stretches of its own length.
         for size in sorted({SEED, *counts[(counts > 0) & (counts < SEED)].tolist()}):
             mine = short & (counts[owner] == size) if size < SEED else ~short
-            order = np.argsort(seeds[mine], kind="stable")
-            self.by_size[size] = (seeds[mine][order], owner[mine][order])
+            order = np.lexsort((owner[mine], seeds[mine]))
+            s, o = seeds[mine][order], owner[mine][order]
+            new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (o[1:] != o[:-1]))[: s.size])
+            self.by_size[size] = (s[new], o[new], np.diff(np.append(new, s.size)))
 
 
-def _candidates(items: Items, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Texts and items that share a seed: both numbers, the seed's size and its places in the text."""
+def _candidates(items: Items, words: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Texts and items that share enough seeds: both numbers, the seed's size and the seeds' places in the text."""
     begins = np.cumsum(counts) - counts
-    for size, (seeds, owners) in items.by_size.items():
+    for size, (seeds, owners, times) in items.by_size.items():
         shingles, have = shingle_hashes(words, counts, size)
         if not shingles.size or not seeds.size:
             continue
-        lo = np.searchsorted(seeds, shingles)
-        hit = np.flatnonzero(seeds[np.minimum(lo, seeds.size - 1)] == shingles)
-        if not hit.size:
-            continue
-        lo, hi = lo[hit], np.searchsorted(seeds, shingles[hit], side="right")
+        hit = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, shingles), seeds.size - 1)] == shingles)
         ends = np.cumsum(have)
         doc = np.searchsorted(ends, hit, side="right")
-        place = hit - (ends - have)[doc]
-        times = hi - lo
-        total = np.cumsum(times)
-        owner = owners[np.repeat(lo - (total - times), times) + np.arange(int(total[-1]))]
-        doc, place = np.repeat(doc, times), np.repeat(place, times)
-        order = np.lexsort((place, owner, doc))
-        doc, owner, place = doc[order], owner[order], place[order]
-        cuts = np.flatnonzero(np.diff(doc) | np.diff(owner)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), doc.size], strict=True):
-            if counts[doc[a]] >= size:
-                yield int(doc[a]), int(owner[a]), size, place[a:b] + begins[doc[a]]
+        whole = counts[doc] >= size
+        hit, doc = hit[whole], doc[whole]
+        if not hit.size:
+            continue
+        # Every seed counts once per text, however often it is there.
+        order = np.lexsort((shingles[hit], doc))
+        d, s = doc[order], shingles[hit][order]
+        new = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
+        d, s = d[new], s[new]
+        lo, hi = np.searchsorted(seeds, s), np.searchsorted(seeds, s, side="right")
+        total = np.cumsum(hi - lo)
+        entry = np.repeat(lo - (total - (hi - lo)), hi - lo) + np.arange(int(total[-1]))
+        d, owner, n = np.repeat(d, hi - lo), owners[entry], times[entry]
+        order = np.lexsort((owner, d))
+        d, owner, n = d[order], owner[order], n[order]
+        first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (owner[1:] != owner[:-1])))
+        # A tile of k words has k - size + 1 of the item's seeds, so at most size words for each of them.
+        enough = size * np.add.reduceat(n, first) >= threshold * items.sizes[owner[first]]
+        for i in first[enough].tolist():
+            a, b = np.searchsorted(doc, [d[i], d[i] + 1])
+            mine = hit[a:b][np.isin(shingles[hit[a:b]], items.seeds[owner[i]])]
+            yield int(d[i]), int(owner[i]), size, mine - (ends[d[i]] - have[d[i]]) + begins[d[i]]
 
 
 def _scan(items: Items, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +198,17 @@ def _scan(items: Items, threshold: float, batches: Iterator[pa.RecordBatch]) ->
         ids, rows = batch.column(0).to_pylist(), []
         for a, b in pieces(offsets):
             words, counts = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for doc, owner, size, places in _candidates(items, words, counts):
+            for doc, owner, size, places in _candidates(items, words, counts, threshold):
                 # Only words in shared seeds can be in a tile, so the text is cut down to them.
                 spots = np.unique((places[:, None] + np.arange(size)).ravel())
                 item = items.words[owner]
+                known, numbers = np.unique(item, return_inverse=True)
                 if np.isin(item, words[spots]).sum() < threshold * item.size:
                     continue
                 gap = np.flatnonzero(np.diff(spots) > 1) + 1
-                text = np.insert(words[spots], gap, np.uint64(0)).tolist()
-                closed = np.insert(np.zeros(spots.size, bool), gap, True).tolist()
-                tiles = greedy_tiles(item.tolist(), text, size, closed)
+                text = np.insert(np.searchsorted(known, words[spots]), gap, 0)
+                closed = np.insert(np.zeros(spots.size, bool), gap, True)
+                tiles = greedy_tiles(numbers, text, size, closed)
                 covered = sum(k for _, _, k in tiles)
                 if covered >= threshold * item.size:
                     rows.append((ids[a + doc], items.ids[owner], item.size, covered, covered / item.size, len(tiles), max(k for _, _, k in tiles)))

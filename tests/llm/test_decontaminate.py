@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
+import numpy as np
 import pytest
 
 from batchloom.llm.decontaminate import contaminated, greedy_tiles
@@ -37,9 +40,67 @@ def test_tiles_match_plain_version(seed):
         at = rng.randrange(len(item) or 1)
         text += item[at : at + rng.choice([4, 9, 45])] + [rng.randrange(70) for _ in range(3)]
     got, expected = greedy_tiles(item, text, 3), plain_tiles(item, text, 3)
-    assert sorted(k for *_, k in got) == sorted(k for *_, k in expected)
-    for p, t, k in got:
-        assert item[p : p + k] == text[t : t + k]
+    assert got == expected
+
+
+def test_repetitive_long_text_stays_cheap():
+    began = time.monotonic()
+    assert greedy_tiles(np.zeros(500, int), np.zeros(200_000, int), 5) == [(0, 0, 500)]
+    rng = np.random.default_rng(3)
+    tiles = greedy_tiles(rng.integers(0, 2, 500), rng.integers(0, 2, 200_000), 5)
+    # All stretches of five are left in the text, so no run of five is left in the item.
+    left = [True] * 500
+    for p, _, k in tiles:
+        left[p : p + k] = [False] * k
+    assert max(len(run) for run in "".join(" x"[x] for x in left).split(" ")) < 5
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_repetitive_tiles_match_plain_version(words):
+    rng = random.Random(words)
+    item, text = [rng.randrange(words) for _ in range(40)], [rng.randrange(words) for _ in range(150)]
+    assert greedy_tiles(item, text, 5) == plain_tiles(item, text, 5)
+
+
+def words_of(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+
+
+def brute(docs, items, least=0.5):
+    """All columns of all rows, by the plain tiler over whole texts."""
+    out = []
+    for doc, text in docs:
+        t = words_of(text)
+        for item, of in items:
+            w = words_of(of)
+            size = min(5, len(w))
+            have = {tuple(t[i : i + size]) for i in range(len(t) - size + 1)}
+            if not w or not any(tuple(w[i : i + size]) in have for i in range(len(w) - size + 1)):
+                continue
+            tiles = plain_tiles(w, t, size)
+            covered = sum(k for *_, k in tiles)
+            if covered >= least * len(w):
+                out.append((doc, item, len(w), covered, covered / len(w), len(tiles), max(k for *_, k in tiles)))
+    return sorted(out, key=str)
+
+
+def test_query_matches_brute_force(spark):
+    from batchloom.llm.queries import op4_decontamination
+
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").collect() for n in ("documents", "benchmark"))
+    got = sorted(map(tuple, op4_decontamination(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == brute([(r["doc_id"], r["text"]) for r in docs], [(r["item_id"], r["text"]) for r in items])
+    assert got
+
+
+def test_repeated_words_and_shared_seeds_match_brute_force(spark):
+    """Items that share seeds with each other, items of one repeated word, and long repetitive texts."""
+    rng = random.Random(12)
+    items = [(1, "ha " * 30), (2, "ha " * 9 + "ho " * 9), (3, " ".join(rng.choice("abc") for _ in range(25))), (4, "a b"), (5, "ha ha ha"), (6, "a b c d e f g h i j k l m n"), (7, "e f g h i x y z a b c d e")]
+    docs = [(i, " ".join(rng.choice(["ha", "ha", "ha", "ho", "a", "b", "c", "d e f g h i"]) for _ in range(rng.choice([0, 4, 30, 120])))) for i in range(40)] + [(99, "ha " * 3000)]
+    got = contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
 
 
 def test_planted_passages(spark, monkeypatch):
