@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -48,36 +49,58 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made = threading.local()
+
+
+def _stages() -> list[str]:
+    """Folders of the stages that this thread has written."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _stages().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deleted(spark: SparkSession, *stages: DataFrame) -> None:
-    """Remove stages made by ``written`` that nothing reads any more; other files are left alone."""
-    jvm, base = spark.sparkContext._jvm, work_dir(spark).split(":", 1)[-1].lstrip("/")
-    for stage in stages:
-        for folder in {f.rsplit("/", 1)[0] for f in stage.inputFiles()}:
-            if folder.split(":", 1)[-1].lstrip("/").startswith(base + "/"):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def stages_so_far() -> int:
+    return len(_stages())
+
+
+def drop_stages(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the stages written after the first ``since``, but those with a name in ``keep``."""
+    jvm, paths = spark.sparkContext._jvm, _stages()
+    gone = [p for p in paths[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    paths[:] = [p for p in paths if p not in gone]
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table`` on ``key``, the rows of a frequent key dealt over several tasks.
 
-    ``table`` has one row per key, and in ``n_rows`` how many rows have it. A key is frequent if more than
-    ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of them, and only these are
-    broadcast. Each is dealt, by a hash of the column ``by``, to as many tasks as its rows need; ``table`` is repeated for
-    these keys, at most twice ``MOST_FREQUENT`` times in all. Keys are not null.
+    ``table`` has one row per key, and in ``n_rows`` how many of the ``total`` rows have it. A key is frequent if more than
+    ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of them, and only hashes of these come to
+    the driver. Each is dealt, by a hash of the column ``by``, to a power of two of tasks, and its row of ``table`` is
+    repeated as often: at most four times ``MOST_FREQUENT`` rows in all. Keys are not null.
     """
     share = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
-    deals = table.where(F.col("n_rows") > share).select(*key, F.ceil(F.col("n_rows") / share).cast("int").alias("__deals"))
-    rows = rows.join(F.broadcast(deals), key, "left").withColumn("__deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("__deals")).cast("int"), F.lit(0))).drop("__deals")
-    last = F.when(F.col("n_rows") > share, F.ceil(F.col("n_rows") / share).cast("int") - 1).otherwise(0)
-    table = table.withColumn("__deal", F.explode(F.sequence(F.lit(0), last))).drop("n_rows")
+    times = F.ceil(F.log2(F.col("n_rows") / share)).cast("int")
+    deals: dict[int, list[int]] = {}
+    for found, power in table.where(F.col("n_rows") > share).select(F.xxhash64(*key), times).toLocalIterator():
+        deals.setdefault(2**power, []).append(found)
+    if not deals:
+        return rows.join(table.drop("n_rows"), key, how)
+    n = F.lit(1)
+    for count, hashes in deals.items():
+        n = F.when(F.xxhash64(*key).isin(hashes), F.lit(count)).otherwise(n)
+    rows = rows.withColumn("__deal", F.pmod(F.xxhash64(by), n).cast("int"))
+    table = table.withColumn("__deal", F.explode(F.sequence(F.lit(0), n - 1))).drop("n_rows")
     return rows.join(table, [*key, "__deal"], how).drop("__deal")
 
 
