@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+#: So much text at a time that its hashes stay in a core's cache.
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _SHINGLE_MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)

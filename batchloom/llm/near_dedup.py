@@ -12,8 +12,8 @@ least 0.75; groups are connected components.
    full sets, and components come from alternating large-star and small-star.
 4. Only buckets that hold several components are looked at again. In each, the classes outside its commonest component
    are compared with all of its classes, in cells of about ``CELL`` by ``CELL``: signatures tell which classes have a
-   promising partner in another component, and for these an index of the one side's shingles counts the common
-   shingles exactly. Only the components that a cell joins come out, so no pairs are written, and no pair that
+   promising partner in another component, a pair counting only in the first band that it shares, and for these an
+   index of the one side's shingles counts the common shingles exactly. Only the components that a cell joins come out, so no pairs are written, and no pair that
    shares a band stays unverified unless it is connected anyway.
 5. A bucket of more than ``LARGE`` classes on both sides is first split: two sets at 0.75 share one of their rarest
    shingles (of n, the n - ceil(0.75 n) + 1 that the fewest classes of such buckets have), so these are the keys of
@@ -49,8 +49,8 @@ BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
-_PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _CELL_COLUMNS = ["key", "id", "component", "probe", "r", "c"]
@@ -79,11 +79,12 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sigs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
+    """A 64-bit key for each band of each signature; its last bits are the band's number."""
     rows = sigs.reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
     keys = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
     for j in range(ROWS):
         keys = mixed((keys ^ rows[:, :, j]) * _A[j])
+    keys = (keys & np.uint64(2**64 - BANDS)) | np.arange(BANDS, dtype=np.uint64)
     return keys.view(np.int64)
 
 
@@ -92,7 +93,6 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
         for a, shingles, counts in _sets(batch.column(1)):
             n = len(counts)
-            sigs = signatures(shingles, counts)
             size, set_a, set_b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             at = 0
             for i, c in enumerate(counts.tolist()):
@@ -102,10 +102,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     set_a[i] = mixed(own).sum(dtype=np.uint64).astype(np.int64)
                     set_b[i] = mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)
                     at += c
-            bands = band_keys(sigs)
+            bands = band_keys(signatures(shingles, counts))
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, n), pa.array(size), pa.array(set_a), pa.array(set_b), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))],
+                [ids.slice(a, n), pa.array(size), pa.array(set_a), pa.array(set_b), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))],
                 schema=_PROFILE_ARROW,
             )
 
@@ -174,16 +174,21 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFra
 
 
 def _promising(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The classes of a cell that have a partner of another component whose signature is similar enough."""
+    """The classes of a cell that have a partner of another component whose signature is similar enough.
+
+    A pair counts in the first band that it shares, as it meets in the bucket of each; buckets of shingles have band -1.
+    """
     sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(rows.num_rows, -1)
     # One byte of a minimum is enough to refuse most pairs; equal minima have equal bytes, so none is lost.
-    sigs = np.ascontiguousarray(sigs.astype(np.uint8))
+    short = np.ascontiguousarray(sigs.astype(np.uint8))
     components, probe = rows.column("component").to_numpy(), rows.column("probe").to_numpy(zero_copy_only=False)
-    rest = np.flatnonzero(~probe)
+    band, rest = rows.column("band")[0].as_py(), np.flatnonzero(~probe)
     keep = np.zeros(rows.num_rows, bool)
     for i in np.flatnonzero(probe).tolist():
-        near = rest[(sigs[rest] == sigs[i]).mean(axis=1) >= REFUSE]
+        near = rest[(short[rest] == short[i]).mean(axis=1) >= REFUSE]
         near = near[components[near] != components[i]]
+        if near.size and band >= 0:
+            near = near[(sigs[near] == sigs[i]).reshape(near.size, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
         keep[near] = True
         keep[i] |= near.size > 0
     return rows.select(_CELL_COLUMNS).filter(pa.array(keep))
@@ -243,14 +248,14 @@ def _slices(total: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int
 def _open(spark: SparkSession, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The buckets that hold several components, and their members (key, id, component) with the bucket's size on both sides.
 
-    Of buckets with the same members one is taken.
+    Of buckets with the same members that of the first band is taken.
     """
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"), *marks)
     marks = [F.bit_xor(f"x{k}").alias(f"x{k}") for k in (1, 2)]
     per = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_rows"), F.count("*").alias("parts"), *marks)
     per = per.where("parts > 1").select("key", F.col("most.component").alias("largest"), "n_rows", (F.col("n_rows") - F.col("most.n")).alias("others"), "x1", "x2")
-    one = per.groupBy("x1", "x2", "n_rows").agg(F.min(F.struct("key", "largest", "others")).alias("b")).select("b.key", "b.largest", "b.others", "n_rows")
+    one = per.groupBy("x1", "x2", "n_rows").agg(F.min(F.struct(F.col("key").bitwiseAND(BANDS - 1), "key", "largest", "others")).alias("b")).select("b.key", "b.largest", "b.others", "n_rows")
     one = written(spark, one.withColumn("all", F.col("n_rows")), "near-open")
     return one, spread_join(members, one, ["key"], "id", members.count())
 
@@ -281,15 +286,16 @@ def _rest(spark: SparkSession, buckets: DataFrame, labels: DataFrame, sets: Data
     members = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     members = written(spark, members, "near-members")
     opened, known = _open(spark, members)
+    known = known.withColumn("band", F.col("key").bitwiseAND(BANDS - 1).cast("int"))
     if not opened.where(F.col("others") > LARGE).isEmpty():
         rare = _rare(spark, known.where(F.col("others") > LARGE), sets)
-        known = known.where(F.col("others") <= LARGE).unionByName(_open(spark, rare)[1])
+        known = known.where(F.col("others") <= LARGE).unionByName(_open(spark, rare)[1].withColumn("band", F.lit(-1)))
         known = written(spark, known, "near-known")
     blocks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
     known = known.withColumns({"rows": blocks("all"), "columns": blocks("others")})
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = known.select("key", "id", "component", F.lit(False).alias("probe"), place("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
-    probes = known.where("component <> largest").select("key", "id", "component", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), place("columns").alias("c"))
+    every = known.select("key", "band", "id", "component", F.lit(False).alias("probe"), place("rows").alias("r"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"))
+    probes = known.where("component <> largest").select("key", "band", "id", "component", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), place("columns").alias("c"))
     cells = every.unionByName(probes).join(sets.select("id", "sig"), "id").groupBy("key", "r", "c")
     near = written(spark, cells.applyInArrow(_promising, "key long, id long, component long, probe boolean, r int, c int"), "near-cells")
     cells = near.join(sets.select("id", "shingles"), "id").groupBy("key", "r", "c")
