@@ -62,8 +62,8 @@ WITH l AS (
     string_agg(line, chr(10) ORDER BY pos) FILTER (t NOT IN (SELECT t FROM spread)) AS rest
   FROM l GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_lines, CAST(CASE WHEN gone < n THEN gone ELSE 0 END AS BIGINT) AS n_removed,
-  sha256(CASE WHEN gone > 0 AND gone < n THEN rest ELSE text END) AS kept_sha256
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_lines, CAST(gone AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone > 0 THEN coalesce(rest, '') ELSE text END) AS kept_sha256
 FROM documents d JOIN per USING (doc_id)
 """
 
