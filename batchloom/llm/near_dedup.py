@@ -40,7 +40,7 @@ from batchloom.llm.common import drop_stages, mixed, pieces, shingle_hashes, spr
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
-CELL, LARGE = 1_024, 4_096
+CELL, LARGE = 512, 4_096
 #: Signature similarity below which a pair is refused unseen: over five standard errors under 0.75.
 REFUSE = 0.55
 #: Up to so many candidate ids (8 MB) are broadcast to pick their texts; more are joined by a shuffle.
