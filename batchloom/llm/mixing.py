@@ -4,13 +4,15 @@ Every document draws an exponential key ``-ln(u) / quality`` from a hash of its
 at least its size is first taken in complete epochs; what is left of the target is then filled in key order,
 by prefix sums of sizes, and the document at the border gives just the words that are still wanted.
 
-Prefix sums do not gather a source in one task: keys are cut into many slices, slice totals are summed
-first, and only the rows of one slice of one source meet in a window.
+Prefix sums do not gather a source in one task: rows are dealt to ranges of (source, key) by sampled quantiles, so
+ranges are about equal whatever the weights are; the totals of a source's ranges are summed first, and only the rows
+of one range meet in a window. There may be very many sources: they are numbered in ranges, too, and the
+level to which weights fill their targets is found by repeated sums over all of them, a number each time.
 
 Edge cases: a null text has size 0; a null source is a source of its own and comes last; a null id draws the
-key of the string ``null``; rows that repeat are separate documents, ties fall by id and text hash; quality
+key of the string ``null``; rows that repeat are separate documents, however many, ties fall by id and text hash; quality
 that is null, not a number or not positive counts as 1; an empty table gives an empty table; when all sizes are
-0 all targets are 0.
+0 all targets are 0; a long text is one document; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from batchloom.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_SLICE = 5_000
+ROWS_PER_RANGE = 200_000
 
 
 def uniform(id_col: Column) -> Column:
@@ -30,25 +32,41 @@ def uniform(id_col: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def _ranges(spark: SparkSession, n: int) -> int:
+    """How many ranges ``n`` rows are dealt to."""
+    return max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // ROWS_PER_RANGE))
+
+
+def source_targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """Per source its size and target: shares by weight, none above ``most`` times its size, the excess reshared.
 
-    Resharing until none is above is water filling: with sources in order of cap / weight, the level is the
-    largest of (budget - caps so far) / (weights from here on). One row per source meets in one task.
+    Sources take turns at the weights in order of their names. Resharing until none is above its cap is filling to a
+    level: the level is what is left of the budget after the caps that it reaches, over the weights of the others.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    from_here = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    budget = F.sum("source_size").over(everything) * F.lit(float(share))
-    per = per.withColumn("level", (budget - before) / from_here)
-    level = F.max("level").over(everything)
-    return per.withColumn("target", F.least("cap", level * F.col("weight"))).select("source", "source_size", "n_docs", "target")
+    per = written(spark, sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "mix-sources")
+    n, total = per.agg(F.count("*"), F.sum("source_size")).first()
+    by_name = [F.col("source").isNull(), F.col("source")]
+    dealt = per.repartitionByRange(_ranges(spark, n), *by_name).withColumn("range", F.spark_partition_id())
+    dealt = written(spark, dealt, "mix-names")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*by_name))
+    turn = (F.col("place") + F.col("earlier") - 1) % len(weights)
+    numbered = dealt.withColumn("place", place).join(earlier, "range")
+    numbered = numbered.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    numbered = written(spark, numbered.select("source", "source_size", "n_rows", "weight", (F.col("source_size") * F.lit(float(most))).alias("cap")), "mix-weights")
+    level = float("inf")
+    open_ = numbered.agg(F.sum("weight")).first()[0]
+    budget = float(total or 0) * share
+    used = 0.0
+    while open_:
+        level = (budget - used) / open_
+        filled, rest = numbered.agg(F.sum(F.when(F.col("cap") <= F.lit(level) * F.col("weight"), F.col("cap"))), F.sum(F.when(F.col("cap") > F.lit(level) * F.col("weight"), F.col("weight")))).first()
+        # Caps that are reached stay reached, as the level only rises.
+        if rest == open_:
+            break
+        used, open_ = filled, rest
+    return numbered.select("source", "source_size", "n_rows", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(
@@ -72,19 +90,23 @@ def mix(
     else:
         rows = rows.withColumn("q", F.lit(None).cast("double"))
     weight = F.when((F.col("q") > 0) & ~F.isnan("q"), F.col("q")).otherwise(F.lit(1.0))
-    rows = written(spark, rows.withColumn("key", -F.ln(uniform(F.col("doc_id"))) / weight).drop("q"), "mix-sizes")
-
-    targets = source_targets(rows, weights, share, most).withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_SLICE)))
-    rows = rows.join(targets.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).drop("s", "n_docs")
-    # 1 - exp(-key) is uniform for weight 1 and grows with the key, so slices follow key order.
-    rows = rows.withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("slices")))
-    totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)))
-    totals = totals.select(F.col("source").alias("s"), F.col("slice").alias("b"), "before")
-    rows = rows.join(totals, rows["source"].eqNullSafe(F.col("s")) & (rows["slice"] == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.col("before") + F.sum("size").over(inside) - F.col("size")
+    # Equal rows are told apart by a number, so that they can be dealt like others.
+    rows = rows.withColumn("key", -F.ln(uniform(F.col("doc_id"))) / weight).drop("q").withColumn("number", F.monotonically_increasing_id())
+    rows = written(spark, rows, "mix-sizes")
+    n = rows.count()
+    targets = source_targets(spark, rows, weights, share, most)
+
+    order = ["key", "doc_id", "th", "size", "number"]
+    rows = rows.repartitionByRange(_ranges(spark, n), F.col("source").isNull(), "source", *order).withColumn("range", F.spark_partition_id())
+    rows = written(spark, rows, "mix-ranges").withColumn("s", F.struct("source"))
+    totals = rows.groupBy("s", "range").agg(F.sum("size").alias("range_size"), F.count("*").alias("n_rows"))
+    earlier = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
+    # A range of a source is a bounded number of rows, so these joins and windows have no frequent keys.
+    known = totals.join(targets.select(F.struct("source").alias("s"), "source_size", "target"), "s").select("s", "range", "before", "source_size", "target")
+    inside = Window.partitionBy("s", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("inside", F.sum("size").over(inside)).join(known, ["s", "range"])
+    reached = F.col("before") + F.col("inside") - F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     wanted = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - F.col("reached")))

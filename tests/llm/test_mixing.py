@@ -54,10 +54,10 @@ def corpus(seed, n=150):
     return [*rows, (900, None, "b", "x"), (901, "\t\n", "lonely", "x"), (None, "a  b c", "Z", "x")]
 
 
-@pytest.mark.parametrize("per_slice", [5_000, 7])
-def test_matches_plain_version(spark, monkeypatch, per_slice):
-    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", per_slice)
-    rows = corpus(per_slice)
+@pytest.mark.parametrize("per_range", [200_000, 7])
+def test_matches_plain_version(spark, monkeypatch, per_range):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", per_range)
+    rows = corpus(per_range)
     quality = {1: 2.0, 2: 0.5, 3: 0.0, 4: -1.0, 5: 1.5}
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target string").repartition(3)
     got = mixing.mix(spark, docs, spark.createDataFrame([*quality.items(), (6, None), (5, 1.5)], "doc_id long, quality double")).collect()
@@ -83,6 +83,32 @@ def test_heavier_documents_come_first(spark):
     assert heavy / 2000 == pytest.approx(0.7246, abs=0.04) and light / 2000 == pytest.approx(0.2755, abs=0.04)
 
 
+@pytest.mark.parametrize("quality", [0.001, 500.0])
+def test_ranges_are_even_for_any_quality(spark, monkeypatch, quality):
+    """Keys far from those of weight 1, and one row repeated very often, are dealt like others."""
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 100)
+    rows = [(i, "w w", "a") for i in range(1200)] + [(5000, "w w w", "a")] * 800
+    weights = spark.createDataFrame([(i, quality) for i in range(1200)], "doc_id long, quality double")
+    kept = []
+    write = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda spark, df, name: kept.append((name, out := write(spark, df, name))) or out)
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), weights)
+    sizes = [r["count"] for r in dict(kept)["mix-ranges"].groupBy("range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 400
+    found = got.collect()
+    total = sum(r["size"] for r in found)
+    assert total == 4800 and sum(r["taken"] for r in found) == 7200 and {r["target"] for r in found} == {7200.0}
+    assert sorted(map(tuple, found)) == sorted(map(tuple, got.collect()))
+
+
+def test_very_many_sources(spark, monkeypatch):
+    """A source per document: they take turns at the weights in order of their names."""
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 50)
+    rows = [(i, "w " * (i % 7), f"site{i * 7919 % 1000:04}") for i in range(600)] + [(700, "w w", None)]
+    got = {r["doc_id"]: tuple(r) for r in mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[r[0]] == r for r in plain(rows, {}))
+
+
 def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string")
     got = sorted(map(tuple, mixing.mix(spark, docs).collect()))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import plain_tiles
 from test_line_dedup import brute as plain_lines
 from test_mixing import plain as plain_mix
@@ -38,7 +41,7 @@ def test_every_stage_on_its_input(spark):
             assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r["text"])}
             assert all(after[i] == before[i] for i in after)
         elif name == "lines":
-            expected = {r[0]: r[1] for r in plain_lines([(i, r["text"], r["source"]) for i, r in before.items()], MIN_SITES)}
+            expected = {r[0]: r[1] for r in plain_lines([(i, r["text"], r["source"]) for i, r in before.items()], MIN_SITES, True)}
             assert {i: r["text"] for i, r in after.items()} == expected
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
         elif name == "near":
@@ -60,6 +63,22 @@ def test_every_stage_on_its_input(spark):
         before = after
 
 
+def test_near_keeps_one_of_equal_rows(spark):
+    rows = [(3, "one two three four five six", "en", s, 27) for s in ("b", "a", None)] + [(3, "another text with the same id", "en", "a", 1), (4, "ONE two three four five six", "en", "a", 27), (5, None, None, "a", None), (5, None, None, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, "one two three four five six", "en", None, 27), (3, "another text with the same id", "en", "a", 1), (5, None, None, "a", None)], key=str)
+
+
+def test_stages_that_were_read_are_deleted(spark):
+    from batchloom.llm.common import work_dir
+
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before] == ["pipeline-mixture"]
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_edge_rows(spark, name, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,4 +87,6 @@ def test_edge_rows(spark, name, stage):
     if name != "mixture":
         assert tuple(stage(spark, docs, SF).columns) == corpus_pipeline.COLUMNS
     assert 0 < stage(spark, docs, SF).count() <= 5 or name == "language"
+    more = docs.withColumns({"h": F.lit("x"), "k": F.lit(1), "n_lines": F.lit(2), "size": F.lit(3), "th": F.lit("y")})
+    assert stage(spark, more, SF).columns == stage(spark, docs, SF).columns
     assert stage(spark, docs.limit(0), SF).collect() == []
