@@ -77,32 +77,32 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
-    return ", ".join(f"('{name}', [{', '.join(repr(w) for w in text.lower().split())}])" for name, text in license_scan.TEMPLATES)
+    return ", ".join(f"('{t.license}', [{', '.join(repr(w) for w in t.words)}], {t.step}, {t.least})" for t in license_scan.TEMPLATES)
 
 
 OP7_SQL = rf"""
-WITH t0(license, tw) AS (VALUES {_template_rows()}),
+WITH t0(license, tw, step, least) AS (VALUES {_template_rows()}),
 t AS (
-  SELECT license, len(tw) AS l, least(5, len(tw)) AS k, greatest(len(tw) - 4, 1) AS n,
+  SELECT license, array_to_string(tw, ' ') AS name, least, step, len(tw) + step - 1 AS l, least(5, len(tw)) AS k,
     list_distinct([array_to_string(tw[j : j + least(5, len(tw)) - 1], ' ') FOR j IN range(1, greatest(len(tw) - 4, 1) + 1)]) AS s FROM t0
 ), ts AS (
-  SELECT license, l, k, n, len(s) AS ns, unnest(s) AS shingle FROM t
+  SELECT license, name, least, step, l, k, len(s) AS ns, unnest(s) AS shingle FROM t
 ), d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents
 ), p AS (
-  SELECT doc_id, w, len(w) AS nw, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM t)
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM t)
 ), hits AS (
-  SELECT doc_id, nw, license, l, n, ns, pos, shingle
-  FROM (SELECT doc_id, nw, k, pos, array_to_string(w[pos : pos + k - 1], ' ') AS shingle FROM p) JOIN ts USING (k, shingle)
+  SELECT doc_id, license, name, least, step, l, k, ns, pos, shingle
+  FROM (SELECT doc_id, k, pos, array_to_string(w[pos : pos + k - 1], ' ') AS shingle FROM p) JOIN ts USING (k, shingle)
 ), starts AS (
-  SELECT DISTINCT doc_id, license, i
-  FROM (SELECT doc_id, license, unnest(range(greatest(1, pos - n + 1), least(pos, greatest(nw - l + 1, 1)) + 1)) AS i FROM hits)
+  SELECT DISTINCT doc_id, license, name, i * step + 1 AS i
+  FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((pos + k - 1 - l) / step) AS BIGINT)), (pos - 1) // step + 1)) AS i FROM hits)
 ), z AS (
-  SELECT doc_id, license, i, count(DISTINCT shingle) / max(ns) AS c
-  FROM starts JOIN hits USING (doc_id, license) WHERE pos BETWEEN i AND i + n - 1 GROUP BY doc_id, license, i
+  SELECT doc_id, license, i, max(least) AS least, count(DISTINCT shingle) / max(ns) AS c
+  FROM starts JOIN hits USING (doc_id, license, name) WHERE pos >= i AND pos + k - 1 <= i + l - 1 GROUP BY doc_id, license, name, i
 )
-SELECT doc_id, license, max(c) AS containment, count(*) AS n_windows, CAST(min(i) AS BIGINT) AS first_word
-FROM z WHERE c >= {license_scan.CONTAINMENT} GROUP BY doc_id, license
+SELECT doc_id, license, max(c) AS containment, CAST(count(DISTINCT i) AS BIGINT) AS n_windows, CAST(min(i) AS BIGINT) AS first_word
+FROM z WHERE c >= least GROUP BY doc_id, license
 """
 
 
