@@ -28,7 +28,7 @@ _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Words up to so many bytes are hashed all at once, longer ones one by one.
 _SHORT_WORD = 64
 #: At most so many keys are told apart as frequent, so lists of them may be broadcast.
-MOST_FREQUENT, LEAST_FREQUENT = 10_000, 64
+MOST_FREQUENT, LEAST_FREQUENT, FEW_ROWS = 10_000, 64, 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -82,14 +82,17 @@ def drop_stages(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) ->
     paths[:] = [p for p in paths if p not in gone]
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner", narrow: bool = True) -> DataFrame:
     """``rows`` joined to ``table`` on ``key``, the rows of a frequent key dealt over several tasks.
 
-    ``table`` has one row per key, and in ``n_rows`` how many of the ``total`` rows have it. A key is frequent if more than
-    ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of them, and only hashes of these come to
-    the driver. Each is dealt, by a hash of the column ``by``, to a power of two of tasks, and its row of ``table`` is
-    repeated as often: at most four times ``MOST_FREQUENT`` rows in all. Keys are not null.
+    ``table`` has one row per key, and in ``n_rows`` how many of the ``total`` rows have it. Where it is counted to have at most
+    ``FEW_ROWS`` rows, it is broadcast (``narrow`` says that its columns are numbers and hashes, so this is a few MB).
+    Otherwise a key is frequent if more than ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of
+    them, and only hashes of these come to the driver. Each is dealt, by a hash of the column ``by``, to a power of two of
+    tasks, and its row of ``table`` is repeated as often: at most four times ``MOST_FREQUENT`` rows in all. Keys are not null.
     """
+    if narrow and table.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return rows.join(F.broadcast(table.drop("n_rows")), key, how)
     share = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
     times = F.ceil(F.log2(F.col("n_rows") / share)).cast("int")
     deals: dict[int, list[int]] = {}
@@ -99,9 +102,9 @@ def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, tota
         return rows.join(table.drop("n_rows"), key, how)
     n = F.lit(1)
     for count, hashes in deals.items():
-        n = F.when(F.xxhash64(*key).isin(hashes), F.lit(count)).otherwise(n)
-    rows = rows.withColumn("__deal", F.pmod(F.xxhash64(by), n).cast("int"))
-    table = table.withColumn("__deal", F.explode(F.sequence(F.lit(0), n - 1))).drop("n_rows")
+        n = F.when(F.col("__hash").isin(hashes), F.lit(count)).otherwise(n)
+    rows = rows.withColumn("__hash", F.xxhash64(*key)).withColumn("__deal", F.pmod(F.xxhash64(by), n).cast("int")).drop("__hash")
+    table = table.withColumn("__hash", F.xxhash64(*key)).withColumn("__deal", F.explode(F.sequence(F.lit(0), n - 1))).drop("n_rows", "__hash")
     return rows.join(table, [*key, "__deal"], how).drop("__deal")
 
 

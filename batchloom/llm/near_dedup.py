@@ -169,7 +169,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFra
     leaders = pairs.groupBy("u").agg(F.count("*").alias("n_rows"))
     leaders = written(spark, sets.join(leaders, F.col("id") == F.col("u")).select("u", "n_rows", F.col("sig").alias("x_sig"), F.col("shingles").alias("x_set")), "near-leaders")
     rows = pairs.join(sets.select(F.col("id").alias("v"), F.col("sig").alias("y_sig"), F.col("shingles").alias("y_set")), "v")
-    joined = spread_join(rows, leaders, ["u"], "v", pairs.count())
+    joined = spread_join(rows, leaders, ["u"], "v", pairs.count(), narrow=False)
     return joined.select("u", "v", "x_sig", "x_set", "y_sig", "y_set").mapInArrow(_similar, "u long, v long")
 
 

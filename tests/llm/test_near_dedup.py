@@ -86,6 +86,7 @@ def test_family_of_pages(spark, monkeypatch, large):
     monkeypatch.setattr(near_dedup, "LARGE", large)
     monkeypatch.setattr(near_dedup, "CELL", 20)
     monkeypatch.setattr(common, "LEAST_FREQUENT", 4)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     rows = family(large) + corpus(5)[:40]
     rows = [(i, t, "") for i, (_, t, _) in enumerate(rows)]
     got = near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()

@@ -96,6 +96,7 @@ def test_many_copies_of_one_text(spark, monkeypatch):
     from batchloom.llm import common
 
     monkeypatch.setattr(common, "LEAST_FREQUENT", 3)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     rows = [(i, "the same text of more than fifty bytes, " * 3) for i in range(40)] + [(50, "another text of more than fifty bytes altogether, alone")]
     assert removed(spark, rows) == brute(rows)
 

@@ -72,6 +72,7 @@ def test_long_page_and_many_copies(spark, monkeypatch):
     from batchloom.llm import common
 
     monkeypatch.setattr(common, "LEAST_FREQUENT", 3)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     rows = [(i, f"http://h/{i}", "copy " * 300, "") for i in range(50)] + [(100, "http://long/", "é" * 3_000_000, ""), (101, "http://empty/", None, "")]
     got = {r["page_id"]: r for r in warc.archive_pages(spark, spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()}
     assert len(got) == len(rows)
