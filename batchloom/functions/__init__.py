@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import xor
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
+
+from batchloom.operators.aggregates import Accumulator
 
 
 class AddFeature:
@@ -63,3 +68,47 @@ def batch_length(batch: pa.Table) -> pa.Table:
 def key_sum(group: pa.Table, key: str, value: str) -> pa.Table:
     """One row per group: its key and the sum of a column."""
     return pa.table({key: group.column(key).slice(0, 1), "total": pa.array([pc.sum(group.column(value)).as_py()], pa.int64())})
+
+
+async def add_later(batch: pa.Table, column: str, amount: int) -> pa.Table:
+    """Like ``add_to``, but not synchronous."""
+    return add_to(batch, column, amount)
+
+
+def gang_members(batch: pa.Table) -> pa.Table:
+    """One row: this task's number, how many tasks its stage has, and those that met at the barrier."""
+    context = BarrierTaskContext.get()
+    met = context.allGather(str(context.partitionId()))
+    return pa.table({"task": pa.array([context.partitionId()], pa.int32()), "tasks": pa.array([len(context.getTaskInfos())], pa.int32()), "met": [",".join(sorted(met))]})
+
+
+class BitXor(Accumulator):
+    """All values by exclusive or; 0 on no values."""
+
+    fields, result, empty = "bits long", "long", 0
+
+    def start(self, values: pa.Array) -> tuple:
+        return (reduce(xor, values.drop_null().to_pylist(), 0),)
+
+    def merge(self, states: Sequence[tuple]) -> tuple:
+        return (reduce(xor, (s[0] for s in states)),)
+
+    def finish(self, state: tuple) -> int:
+        return state[0]
+
+
+class Spread(Accumulator):
+    """The largest value less the smallest; null without values."""
+
+    fields, result = "least double, most double", "double"
+
+    def start(self, values: pa.Array) -> tuple:
+        found = pc.min_max(values)
+        return found["min"].as_py(), found["max"].as_py()
+
+    def merge(self, states: Sequence[tuple]) -> tuple:
+        some = [s for s in states if s[0] is not None]
+        return (min(s[0] for s in some), max(s[1] for s in some)) if some else (None, None)
+
+    def finish(self, state: tuple) -> float | None:
+        return None if state[0] is None else state[1] - state[0]

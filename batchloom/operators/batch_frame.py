@@ -11,17 +11,18 @@ from typing import Any
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
+from batchloom.operators.aggregates import aggregated
 from batchloom.operators.worker import MapConfig, as_table, chained, rebatched
 from batchloom.plans.eligibility import FORMATS, MapStage, resource_profile
 from batchloom.plans.regions import Decision, decide
 from batchloom.plans.settings import Settings, settings
-from batchloom.plans.specs import WorkerPool
+from batchloom.plans.specs import Profile, WorkerPool
 
 Schema = str | StructType | pa.Schema
+Rule = Callable[[tuple[MapStage, ...]], tuple[MapStage, ...]]
 INFER_ROWS = 32
 
 
@@ -31,14 +32,38 @@ def _arrow_schema(schema: Schema) -> pa.Schema:
     return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
 
+@dataclass(frozen=True)
+class Read:
+    """Turns rows of work into the rows that the work names, in the task that has them."""
+
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: pa.Schema
+    rows: int
+    profile: Profile | None = None
+
+
+def planned_partitions(df: DataFrame) -> int:
+    """Partitions of the plan as it starts; nothing is run for it, and adaptive execution may merge some later."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.initialPlan()
+    return plan.execute().getNumPartitions()
+
+
 @dataclass(frozen=True)
 class BatchFrame:
-    """Immutable. Maps are recorded; ``df`` places them, and any relational call goes through ``df``."""
+    """Immutable. Maps are recorded; ``df`` places them, and any relational call goes through ``df``.
+
+    Where there is a ``read``, ``base`` has the work that it reads, and the first region of maps reads in its own task.
+    ``rules`` are this frame's own: each gets the recorded maps before they are placed, and gives those to place.
+    """
 
     base: DataFrame
     stages: tuple[MapStage, ...] = ()
     settings: Settings = field(default_factory=Settings)
     source: Any = None
+    read: Read | None = None
+    rules: tuple[Rule, ...] = ()
 
     @classmethod
     def of(cls, df: DataFrame, source: Any = None) -> BatchFrame:
@@ -70,7 +95,8 @@ class BatchFrame:
     ) -> BatchFrame:
         """Apply a function, or objects of a class made once per worker, to batches of ``batch_size`` rows.
 
-        ``schema`` is what comes out; without it, the maps run on a few rows to see. Batches never cross partitions.
+        ``schema`` is what comes out. Without it a job runs now: the maps so far on a few rows, and then ``fn`` on these,
+        on the driver; so give it where that is dear or ``fn`` has effects. Batches never cross partitions.
         """
         if batch_format not in FORMATS:
             raise ValueError(f"batch_format is one of {', '.join(FORMATS)}")
@@ -116,40 +142,67 @@ class BatchFrame:
 
     # ---- placing ------------------------------------------------------------------------------------------
 
+    def with_rule(self, rule: Rule) -> BatchFrame:
+        """Another rule for this frame and those made from it; each counts once, in the order given."""
+        if not callable(rule):
+            raise TypeError("a rule is a function from maps to maps")
+        return self if rule in self.rules else replace(self, rules=(*self.rules, rule))
+
+    @functools.cached_property
+    def placed(self) -> tuple[MapStage, ...]:
+        """The maps as the frame's rules leave them."""
+        stages = functools.reduce(lambda stages, rule: tuple(rule(stages)), self.rules, self.stages)
+        if not all(isinstance(s, MapStage) for s in stages):
+            raise TypeError("a rule gave something that is no map")
+        return stages
+
     @functools.cached_property
     def decisions(self) -> list[Decision]:
-        return decide(self.stages, self.spark.sparkContext.defaultParallelism, self.settings.enabled, self.settings.fusion)
+        return decide(self.placed, self.spark.sparkContext.defaultParallelism, self.settings.enabled, self.settings.fusion)
 
     @functools.cached_property
     def df(self) -> DataFrame:
-        """The frame on Spark: one ``mapInArrow`` for each decision."""
-        out = self.base
+        """The frame on Spark: one ``mapInArrow`` for each decision; a read goes into the first, if it is a region."""
+        out, read = self.base, self.read
+        if read is not None and not self.reads_in_region:
+            out, read = self._ran(out, read.run, read.schema, read.profile), None
         for d in self.decisions:
-            stages = self.stages[d.first : d.last + 1]
+            stages = self.placed[d.first : d.last + 1]
             configs = tuple(s.config for s in stages)
-            schema = from_arrow_schema(configs[-1].schema)
-            profile, _ = resource_profile(self.spark, d.spec.profile if d.spec else None)
-            limit = stages[0].limit
 
-            def run(batches: Iterator[pa.RecordBatch], configs=configs, limit=limit) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], configs=configs, limit=stages[0].limit, read=read) -> Iterator[pa.RecordBatch]:
+                if read is not None:
+                    batches = read.run(batches)
                 if limit is not None:
                     batches = _limited(batches, limit)
                 return chained(configs, batches)
 
-            gang = d.spec is not None and d.spec.profile is not None and d.spec.profile.gang
-            if gang:
-                self._check_gang(out)
-            out = out.mapInArrow(run, schema, barrier=gang, profile=profile)
+            out, read = self._ran(out, run, configs[-1].schema, d.spec.profile if d.spec else None), None
         return out
 
+    @property
+    def reads_in_region(self) -> bool:
+        """Whether the first region reads: there is one, and the read asks for nothing else; a gang is not for reading."""
+        if self.read is None or not self.decisions or not self.settings.fusion or self.decisions[0].spec is None:
+            return False
+        profile = self.decisions[0].spec.profile
+        return self.read.profile in (None, profile) and not (profile and profile.gang)
+
+    def _ran(self, df: DataFrame, run: Callable, schema: pa.Schema, wanted: Profile | None) -> DataFrame:
+        gang = wanted is not None and wanted.gang
+        if gang:
+            self._check_gang(df)
+        profile, _ = resource_profile(self.spark, wanted)
+        return df.mapInArrow(run, from_arrow_schema(schema), barrier=gang, profile=profile)
+
     def _check_gang(self, df: DataFrame) -> None:
         """A gang needs a slot for every partition at once; refuse before it starts what can't get them."""
-        blocks, slots = df.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism
+        blocks, slots = planned_partitions(df), self.spark.sparkContext.defaultParallelism
         if blocks > slots:
             raise ValueError(f"a gang of {blocks} partitions needs as many slots; there are {slots}")
 
     def _over(self, df: DataFrame) -> BatchFrame:
-        return BatchFrame(df, (), self.settings, None)
+        return BatchFrame(df, (), self.settings, None, None, self.rules)
 
     # ---- relational calls, by Catalyst --------------------------------------------------------------------
 
@@ -179,10 +232,15 @@ class BatchFrame:
         return self if factor == 1 else self.repartition(factor * self.num_blocks())
 
     def bundle(self, min_rows: int) -> BatchFrame:
-        """Fewer partitions, of about ``min_rows`` rows or more each, without an exchange."""
+        """Fewer partitions, of about ``min_rows`` rows or more each, without an exchange.
+
+        What counts are the rows that go into the maps recorded so far, so no map runs to count them; Spark counts a Parquet
+        scan from its footers.
+        """
         if min_rows < 1:
             raise ValueError("min_rows is at least 1")
-        return self.coalesce(max(1, min(self.num_blocks(), self.count() // min_rows)))
+        rows = self.read.rows if self.read is not None else self.base.count()
+        return replace(self, base=self.base.coalesce(max(1, min(planned_partitions(self.base), rows // min_rows))))
 
     def coalesce(self, n: int) -> BatchFrame:
         return self._over(self.df.coalesce(n))
@@ -194,9 +252,9 @@ class BatchFrame:
     def group_by(self, *keys: str) -> Groups:
         return Groups(self, keys)
 
-    def aggregate(self, **aggregates: tuple[str, str]) -> BatchFrame:
-        """One row over everything; on no rows, counts are 0 and the rest null."""
-        return self._over(self.df.agg(*_aggregates(aggregates)))
+    def aggregate(self, **aggregates: Any) -> BatchFrame:
+        """One row over everything; on no rows, counts are 0, accumulators have their ``empty`` and the rest is null."""
+        return self._over(aggregated(self.df, (), aggregates))
 
     # ---- actions ------------------------------------------------------------------------------------------
 
@@ -222,11 +280,21 @@ class BatchFrame:
         return rebatched((pa.ipc.open_stream(row[0]).read_all() for row in packed), batch_size)
 
     def num_blocks(self) -> int:
-        return self.df.rdd.getNumPartitions()
+        """Partitions as planned; nothing is run for it."""
+        return planned_partitions(self.df)
 
     def stats(self) -> dict[str, Any]:
-        """Rows, partitions, and Spark's estimate of bytes."""
-        return {"rows": self.count(), "blocks": self.num_blocks(), "stages": len(self.stages), "regions": sum(d.how == "fused" for d in self.decisions), "estimated_bytes": int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))}
+        """Runs the frame: rows, partitions, Spark's estimate of bytes, and what this run spilled to disk."""
+        before = _spilled(self.spark)
+        rows = self.count()
+        return {
+            "rows": rows,
+            "blocks": self.num_blocks(),
+            "stages": len(self.placed),
+            "regions": sum(d.how == "fused" for d in self.decisions),
+            "estimated_bytes": int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())),
+            "spilled_bytes": _spilled(self.spark) - before,
+        }
 
     def explain(self) -> str:
         from batchloom.plans.explain import explain
@@ -251,13 +319,11 @@ def _limited(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         most -= batch.num_rows
 
 
-AGGREGATES: dict[str, Callable[[str], Column]] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
-
-
-def _aggregates(aggregates: Mapping[str, tuple[str, str]]) -> list[Column]:
-    if unknown := sorted({how for how, _ in aggregates.values()} - set(AGGREGATES)):
-        raise ValueError(f"unknown aggregates {unknown}; there are {sorted(AGGREGATES)}")
-    return [AGGREGATES[how](column).alias(name) for name, (how, column) in aggregates.items()]
+def _spilled(spark: SparkSession) -> int:
+    """Bytes that this application's stages have spilled to disk so far, from Spark's status store."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
 
 
 @dataclass(frozen=True)
@@ -270,9 +336,9 @@ class Groups:
     def _grouped(self) -> GroupedData:
         return self.frame.df.groupBy(*self.keys)
 
-    def aggregate(self, **aggregates: tuple[str, str]) -> BatchFrame:
-        """``name=("sum", "column")``: partial sums in each task, then an exchange, then the rest; spills to disk."""
-        return self.frame._over(self._grouped().agg(*_aggregates(aggregates)))
+    def aggregate(self, **aggregates: Any) -> BatchFrame:
+        """``name=("sum", "column")`` or ``name=(an Accumulator, "column")``: partial in each task, then an exchange, then the rest."""
+        return self.frame._over(aggregated(self.frame.df, self.keys, aggregates))
 
     def map_groups(self, fn: Callable[..., Any], schema: Schema, batch_format: str = "pyarrow", fn_args: tuple = (), fn_kwargs: Mapping[str, Any] | None = None) -> BatchFrame:
         """One call per key with all its rows; a null key is a key. A group has to fit in a worker."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from types import GeneratorType
@@ -12,7 +13,9 @@ import pyarrow as pa
 
 #: Callable objects by plan and stage. Spark reuses worker processes, so one is made per worker, not per task.
 _instances: dict[tuple[str, int], Any] = {}
-KEPT_INSTANCES = 64
+_last_used: dict[tuple[str, int], float] = {}
+#: Objects that no batch has needed for so long go, in seconds; they belong to plans that are over.
+IDLE = 1_800.0
 
 
 class BatchError(RuntimeError):
@@ -97,10 +100,12 @@ def as_table(value: Any, schema: pa.Schema) -> pa.Table:
 def _function(config: MapConfig) -> Callable[..., Any]:
     if not isinstance(config.fn, type):
         return config.fn
+    now = time.monotonic()
+    for key in [k for k, used in _last_used.items() if now - used > IDLE and k != config.key]:
+        del _instances[key], _last_used[key]
     if config.key not in _instances:
-        while len(_instances) >= KEPT_INSTANCES:
-            del _instances[next(iter(_instances))]
         _instances[config.key] = config.fn(*config.constructor_args, **dict(config.constructor_kwargs))
+    _last_used[config.key] = now
     return _instances[config.key]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -69,13 +70,24 @@ def map_eligibility(stage: Any, slots: int) -> Eligibility:
 
 def resource_profile(spark: SparkSession, profile: Profile | None) -> tuple[Any, str | None]:
     """Spark's resource profile for a region, or why there is none."""
-    if profile is None or (profile.num_gpus == 0 and profile.num_cpus == 1.0 and profile.memory is None):
+    if profile is None or (profile.gpus, profile.cpus, profile.memory, profile.resources) == (0, 1.0, None, None):
         return None, None
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
         return None, "resource profiles need a cluster; the session is local"
-    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
-
-    tasks = TaskResourceRequests().cpus(max(1, round(profile.num_cpus)))
-    if profile.num_gpus:
-        tasks = tasks.resource("gpu", profile.num_gpus)
-    return ResourceProfileBuilder().require(tasks).build, None
+    return build_profile(profile), None
+
+
+def build_profile(profile: Profile) -> Any:
+    """All fields of a profile as Spark's: tasks ask for CPUs and resources, executors for memory and what their tasks ask."""
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    tasks, executors = TaskResourceRequests().cpus(max(1, math.ceil(profile.cpus))), ExecutorResourceRequests()
+    for name, amount in (("gpu", profile.gpus), *(profile.resources or ())):
+        if amount:
+            tasks = tasks.resource(name, float(amount))
+            executors = executors.resource(name, max(1, math.ceil(amount)))
+    builder = ResourceProfileBuilder().require(tasks)
+    if profile.memory:
+        executors = executors.memory(f"{math.ceil(profile.memory)}m")
+    return builder.require(executors).build if executors.requests else builder.build

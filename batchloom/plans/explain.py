@@ -22,9 +22,9 @@ def explain(frame: BatchFrame) -> str:
     if not frame.settings.enabled:
         return "\n".join([*lines, "all stages run on plain Spark"])
     if frame.source is not None:
-        lines.append(f"read: {frame.source}")
+        lines.append(f"read: {frame.source}" + (", in the first region's tasks" if frame.reads_in_region else ""))
     for d in frame.decisions:
-        names = " > ".join(s.label for s in frame.stages[d.first : d.last + 1])
+        names = " > ".join(s.label for s in frame.placed[d.first : d.last + 1])
         line = f"stage {d.first}" + (f" to {d.last}" if d.last > d.first else "") + f" [{names}]: {d.how}"
         if d.reason:
             line += f", reason={d.reason}"

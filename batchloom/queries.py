@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom import BatchFrame, TaskPool, WorkerPool, from_items, from_range, read_parquet, read_row_groups
-from batchloom.functions import AddFeature, add_to, batch_length, in_halves, keep_above, key_sum, multiply_by, nothing, repeated
+from batchloom.functions import AddFeature, BitXor, Spread, add_later, add_to, batch_length, gang_members, in_halves, keep_above, key_sum, multiply_by, nothing, repeated
 from batchloom.plans.admission import admission_states
 from batchloom.plans.settings import Settings
 from batchloom.sources.readers import work_table
@@ -61,9 +61,17 @@ def scan_exact_row_groups(spark, sf_dir):
     return read_row_groups(spark, f"{sf_dir}/lineitem.parquet", LINES, use=ON).df
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS planned_rows FROM lineitem")
-def scan_work_plan_rows(spark, sf_dir):
-    return work_table(spark, [f"{sf_dir}/lineitem.parquet"], LINES, 8).aggregate(planned_rows=("sum", "rows")).df
+@query("SELECT CAST(0 AS INTEGER) AS task, CAST(1 AS INTEGER) AS files, CAST(1 AS INTEGER) AS row_groups, CAST(count(*) AS BIGINT) AS rows FROM lineitem")
+def scan_work_plan(spark, sf_dir):
+    """What each task of an exact scan reads: the file's one row group is one task's, however many are asked for."""
+    return work_table(spark, [f"{sf_dir}/lineitem.parquet"], LINES, 8).select("task", "files", "row_groups", "rows").df
+
+
+@query("SELECT CAST(l_linenumber * 7 AS BIGINT) AS feature, l_orderkey, l_linenumber FROM lineitem")
+def scan_read_in_region(spark, sf_dir):
+    """An exact scan and a map in one task, without rows leaving the worker between them."""
+    frame = read_row_groups(spark, f"{sf_dir}/lineitem.parquet", KEYS, use=ON)
+    return frame.map_batches(AddFeature, schema=f"{KEYS_DDL}, feature long", fn_constructor_args=("l_linenumber",)).df
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'R'")
@@ -198,9 +206,30 @@ def fallback_numpy(spark, sf_dir):
     return lineitem(spark, sf_dir, LINES).map_batches(fn, schema=f"{LINES_DDL}, feature long", batch_format="numpy").df
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+@query("SELECT count(DISTINCT l_suppkey) AS keys, CAST(0 AS BIGINT) AS shared, CAST(8 AS BIGINT) AS most, count(*) AS n_rows FROM lineitem")
 def shuffle_by_key(spark, sf_dir):
-    return lineitem(spark, sf_dir, LINES).shuffle_by("l_orderkey", num_partitions=8).df
+    """How many keys there are, how many of them are in several partitions, and the bound on partitions."""
+    placed = lineitem(spark, sf_dir, ["l_suppkey"]).shuffle_by("l_suppkey", num_partitions=8).df.withColumn("place", F.spark_partition_id())
+    per = placed.groupBy("l_suppkey").agg(F.count_distinct("place").alias("places"), F.max("place").alias("last"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("keys"), F.count_if(F.col("places") > 1).alias("shared"), F.when(F.max("last") < 8, 8).otherwise(F.max("last")).cast("long").alias("most"), F.sum("n").alias("n_rows"))
+
+
+@query("SELECT l_suppkey, CAST(bit_xor(l_orderkey) AS BIGINT) AS mixed, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY l_suppkey")
+def user_agg(spark, sf_dir):
+    """Aggregates of the user's own, by key."""
+    frame = lineitem(spark, sf_dir, ["l_suppkey", "l_orderkey", "l_quantity"]).group_by("l_suppkey")
+    return frame.aggregate(mixed=(BitXor(), "l_orderkey"), spread=(Spread(), "l_quantity")).df
+
+
+@query("SELECT CAST(bit_xor(l_orderkey) AS BIGINT) AS mixed, max(l_quantity) - min(l_quantity) AS spread FROM lineitem")
+def user_agg_global(spark, sf_dir):
+    return lineitem(spark, sf_dir, ["l_orderkey", "l_quantity"]).split_blocks(4).aggregate(mixed=(BitXor(), "l_orderkey"), spread=(Spread(), "l_quantity")).df
+
+
+@query("SELECT CAST(coalesce(bit_xor(l_orderkey), 0) AS BIGINT) AS mixed, max(l_quantity) - min(l_quantity) AS spread FROM lineitem WHERE false")
+def user_agg_empty(spark, sf_dir):
+    """On no rows each aggregate gives its own default."""
+    return lineitem(spark, sf_dir, ["l_orderkey", "l_quantity"]).filter("false").aggregate(mixed=(BitXor(), "l_orderkey"), spread=(Spread(), "l_quantity")).df
 
 
 @query(
@@ -229,9 +258,16 @@ def pipeline_map_shuffle_groups_map(spark, sf_dir):
     return frame.map_batches(add_to, schema="l_suppkey long, total long", fn_args=("total", 100)).df
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+def _blocks(df: DataFrame) -> DataFrame:
+    """Rows per partition."""
+    return df.groupBy(F.spark_partition_id().alias("block")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(4 AS BIGINT) AS blocks, true AS even, count(*) AS n_rows FROM lineitem")
 def split_blocks(spark, sf_dir):
-    return lineitem(spark, sf_dir, KEYS).split_blocks(4).df
+    """The scan's one block as four, of equal numbers of rows."""
+    blocks = _blocks(lineitem(spark, sf_dir, KEYS).coalesce(1).split_blocks(4).df)
+    return blocks.agg(F.count("*").alias("blocks"), (F.max("n") - F.min("n") <= 1).alias("even"), F.sum("n").alias("n_rows"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
@@ -242,15 +278,17 @@ def map_then_join(spark, sf_dir):
     return frame.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").df
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber + 1 AS INTEGER) AS l_linenumber FROM lineitem")
+@query("SELECT * FROM (VALUES (0, 2, '0,1'), (1, 2, '0,1')) AS t(task, tasks, met)")
 def map_gang(spark, sf_dir):
-    """All tasks of the stage start together or not at all."""
-    return lineitem(spark, sf_dir, KEYS).coalesce(2).map_batches(add_to, schema=KEYS_DDL, fn_args=("l_linenumber", 1), gang=True).df
+    """What a gang's tasks see of each other at a barrier: all of them run at once, in one attempt."""
+    frame = replace(from_range(spark, 2, 2), settings=ON)
+    return frame.map_batches(gang_members, schema="task int, tasks int, met string", gang=True).df
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem")
+@query("SELECT CAST(greatest(1, least(4, (SELECT count(*) FROM lineitem) // 20000)) AS BIGINT) AS blocks, count(*) AS n_rows FROM lineitem")
 def bundled_blocks(spark, sf_dir):
-    return lineitem(spark, sf_dir, KEYS).split_blocks(4).bundle(20_000).df
+    """Four blocks as so few that each has about 20,000 rows or more."""
+    return _blocks(lineitem(spark, sf_dir, KEYS).coalesce(1).split_blocks(4).bundle(20_000).df).agg(F.count("*").alias("blocks"), F.sum("n").alias("n_rows"))
 
 
 OPERATORS = [(0, "pool", True, 1.0, 1.0, 0.0), (1, "idle", False, 4.0, 4.0, 0.0), (2, "half", True, 1.0, 0.5, 0.0), (3, "big", True, 1.0, 1.0, 0.0), (4, "late", True, 0.0, 0.25, 0.0)]
@@ -267,11 +305,19 @@ def admission(spark, sf_dir):
     return admission_states(spark.createDataFrame(OPERATORS, "place int, name string, claims boolean, cpu double, gpu double, memory double"), 8, 2, 0)
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+  (0, 1, 'fused', NULL, NULL),
+  (2, 2, 'plain', 'map needs a worker pool', NULL),
+  (3, 3, 'standalone', NULL, 'EXECUTION_INCOMPATIBLE: pool differs: (1, 1, 8) and (1, 1, 2)'),
+  (4, 4, 'standalone', NULL, NULL),
+  (5, 5, 'plain', 'the batch function is not synchronous', NULL)) AS t(first, last, how, reason, note)""")
 def explain_decisions(spark, sf_dir):
-    """The decisions of a chain with a stage that can't join, a row each."""
-    frame = _chain(lineitem(spark, sf_dir, KEYS), batch_format="pyarrow", compute=TaskPool())
-    return spark.createDataFrame([(d.first, d.last, d.how, d.reason) for d in frame.decisions], "first int, last int, how string, reason string")
+    """The decisions of a chain of maps for eight slots, a row each."""
+    same = {"schema": KEYS_DDL, "fn_args": ("l_linenumber", 1), "compute": WorkerPool(max_size=8)}
+    frame = lineitem(spark, sf_dir, KEYS).map_batches(add_to, **same).map_batches(add_to, **same)
+    frame = frame.map_batches(add_to, **(same | {"compute": TaskPool()})).map_batches(add_to, **same)
+    frame = frame.map_batches(add_to, **(same | {"compute": WorkerPool(max_size=2)})).map_batches(add_later, **same)
+    return spark.createDataFrame([(d.first, d.last, d.how, d.reason, d.note) for d in frame.decisions], "first int, last int, how string, reason string, note string")
 
 
 def queries() -> dict[str, Query]:

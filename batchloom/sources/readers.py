@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import base64
-import pickle
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from batchloom.operators.batch_frame import BatchFrame
+from batchloom.operators.batch_frame import BatchFrame, Read
 from batchloom.plans.settings import Settings, settings
-from batchloom.sources.scan import Scan, ScanDeclined, SourceChanged, Work, describe, identity, plan_work, read_footers_with_retry
-
-GROUPS_PER_READ = 32
-FORMAT = "batchloom_row_groups"
+from batchloom.plans.specs import Profile
+from batchloom.sources.scan import ScanDeclined, describe, loads, plan_work, read_footers, read_work, work_rows
 
 
 def read_parquet(
@@ -50,66 +43,22 @@ def from_range(spark: SparkSession, n: int, override_num_blocks: int | None = No
     return BatchFrame.of(spark.range(0, n, 1, override_num_blocks), "range")
 
 
-@dataclass
-class _Part(InputPartition):
-    work: Work
-
-    def __init__(self, work: Work):
-        super().__init__(work.number)
-        self.work = work
-
-
-class RowGroupReader(DataSourceReader):
-    """One Spark partition for each piece of work; the identity of a file is checked around every read."""
-
-    def __init__(self, scan: Scan, work: tuple[Work, ...]):
-        self.scan, self.work = scan, work
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [_Part(w) for w in self.work] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, _Part):
-            return
-        for path, planned, numbers in partition.work.files:
-            for at in range(0, len(numbers), GROUPS_PER_READ):
-                check(path, planned)
-                with pq.ParquetFile(path) as f:
-                    table = f.read_row_groups(list(numbers[at : at + GROUPS_PER_READ]), columns=list(self.scan.columns)).select(list(self.scan.columns))
-                check(path, planned)
-                yield from (b for b in table.cast(self.scan.schema).to_batches() if b.num_rows)
-
-
-def check(path: str, planned: Any) -> None:
-    try:
-        now = identity(path)
-    except ScanDeclined as e:
-        raise SourceChanged(f"{path} is gone") from e
-    if now != planned:
-        raise SourceChanged(f"{path} has changed since it was planned")
-
-
-class RowGroupSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def _plan(self) -> tuple[Scan, tuple[Work, ...]]:
-        return pickle.loads(base64.b64decode(self.options["plan"]))
-
-    def schema(self) -> StructType:
-        return from_arrow_schema(self._plan()[0].schema)
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return RowGroupReader(*self._plan())
-
-
 def read_row_groups(
-    spark: SparkSession, paths: str | Path | Sequence[str | Path], columns: Sequence[str] | None = None, tasks: int | None = None, preserve_order: bool = False, split: int = 1, use: Settings | None = None, **options: Any
+    spark: SparkSession,
+    paths: str | Path | Sequence[str | Path],
+    columns: Sequence[str] | None = None,
+    tasks: int | None = None,
+    preserve_order: bool = False,
+    split: int = 1,
+    use: Settings | None = None,
+    profile: Profile | None = None,
+    retried: Sequence[str] = (),
+    **options: Any,
 ) -> BatchFrame:
     """A scan with exact control of row groups; where that is declined, Spark's own scan, with the reason.
 
-    Files must be where driver and executors both find them under the same local path.
+    Maps that follow are read into by the same task. ``profile`` says how that task is sized; without one, it is sized as the
+    first region of maps asks.
     """
     many = [paths] if isinstance(paths, (str, Path)) else list(paths)
     use = use or settings(spark)
@@ -120,20 +69,19 @@ def read_row_groups(
             raise ScanDeclined("preserve_order", "row groups are dealt by size")
         if split > 1:
             raise ScanDeclined("additional_split_factor", str(split))
-        scan = describe(many, columns, **options)
-        work = plan_work(read_footers_with_retry(scan), tasks or spark.sparkContext.defaultParallelism)
+        scan = describe(spark, many, columns, **options)
+        plan = plan_work(read_footers(scan, retried), tasks or spark.sparkContext.defaultParallelism)
     except ScanDeclined as e:
         frame = read_parquet(spark, many, columns)
         if split > 1:
             frame = frame.split_blocks(split)
         return BatchFrame(frame.base, (), use, f"Spark's Parquet scan, reason={e}")
-    spark.dataSource.register(RowGroupSource)
-    plan = base64.b64encode(pickle.dumps((scan, work.work), protocol=5)).decode()
-    return BatchFrame(spark.read.format(FORMAT).option("plan", plan).load(), (), use, f"{len(work.work)} tasks by row groups, {work.scheme}")
+    read = Read(read_work(scan.columns, scan.schema), scan.schema, sum(s.total("rows") for s in plan.shares), profile)
+    return BatchFrame(work_rows(spark, plan), (), use, f"{len(plan.shares)} tasks by row groups, {plan.scheme}", read)
 
 
 def work_table(spark: SparkSession, paths: Sequence[str | Path], columns: Sequence[str] | None, tasks: int) -> BatchFrame:
     """The plan of a scan as rows: task, files, row groups, rows and bytes."""
-    plan = plan_work(read_footers_with_retry(describe(paths, columns)), tasks)
-    rows = [(w.number, len(w.files), sum(len(n) for *_, n in w.files), w.rows, w.packed, w.unpacked) for w in plan.work]
+    plan = plan_work(read_footers(describe(spark, paths, columns)), tasks)
+    rows = [tuple(load.values()) for load in loads(plan)]
     return BatchFrame.of(spark.createDataFrame(rows, "task int, files int, row_groups int, rows long, packed long, unpacked long"), "work plan")

@@ -113,3 +113,23 @@ def test_window_query_agrees(spark):
     rows = [(i, str(i), i % 4 != 1, 1.0, 0.5 * (i % 3), 0.0) for i in range(9)]
     got = [r["state"] for r in admission_states(spark.createDataFrame(rows, "place int, name string, claims boolean, cpu double, gpu double, memory double"), 4, 2, 0).orderBy("place").collect()]
     assert got == states([Owner(n, pool(c, g, m), queued=int(q)) for _, n, q, c, g, m in rows], cpu=4, gpu=2, memory=0)
+
+
+def test_unmanaged_owners_are_warned_of_once():
+    with pytest.warns(UserWarning, match="a, b") as found:
+        plan([Owner("a", owns=True), Owner("link"), Owner("b", owns=True)], Resources(4, 1, 0))
+    assert len(found) == 1
+
+
+def test_flag_switches_admission_off(spark):
+    from batchloom.plans.admission import admission_states
+    from batchloom.plans.settings import ADMISSION
+
+    rows = spark.createDataFrame([(0, "a", True, 9.0, 0.0, 0.0), (1, "b", True, 1.0, 0.0, 0.0), (2, "c", False, 1.0, 0.0, 0.0)], "place int, name string, claims boolean, cpu double, gpu double, memory double")
+    states = lambda: [r["state"] for r in admission_states(rows, 8, 2, 0).orderBy("place").collect()]
+    assert states() == ["frontier", "blocked", "dormant"]
+    spark.conf.set(ADMISSION, "off")
+    try:
+        assert states() == ["admitted", "admitted", "dormant"]
+    finally:
+        spark.conf.unset(ADMISSION)

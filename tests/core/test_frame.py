@@ -7,6 +7,7 @@ from dataclasses import replace
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 import batchloom
 from batchloom import TaskPool, WorkerPool, from_items, from_range
@@ -96,7 +97,7 @@ def test_fallbacks_run_and_are_explained(values):
     frame = plus(plus(frame), compute=WorkerPool(max_size=1))
     assert sorted(r["value"] for r in frame.take_all()) == [4, 5, 6, 7]
     text = frame.explain()
-    assert "regions: enabled" in text and "reason=batch format 'numpy' is not native" in text and "standalone" in text and "max_workers differs" in text
+    assert "regions: enabled" in text and "reason=batch format 'numpy' is not native" in text and "standalone" in text and "pool differs" in text
     assert "stage 0 to 1 [add_to > add_to]: fused" in plus(plus(values)).explain()
     assert "all stages run on plain Spark" in batchloom.explain(replace(values, settings=Settings()))
     with pytest.raises(TypeError):
@@ -146,6 +147,75 @@ def test_blocks_and_actions(spark, values):
     assert values.map_batches(lambda b: b, schema="value long", limit=1).count() == 2
 
 
+def test_bundles_run_no_map(spark, values):
+    """The rows that go into the maps are counted, not those that come out."""
+    frame = from_range(spark, 100, 8).map_batches(lambda b: 1 / 0, schema="id long").bundle(50)
+    assert frame.num_blocks() == 2
+
+
+def test_planning_runs_nothing_upstream(spark):
+    """Counting partitions beyond an exchange starts no job."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    assert from_range(spark, 100, 4).shuffle_by("id", num_partitions=6).map_batches(lambda b: 1 / 0, schema="id long").num_blocks() == 6
+    assert store.jobsList(None).size() == before
+
+
+def test_spilled_bytes_are_in_stats(spark):
+    stats = from_range(spark, 1000, 2).stats()
+    assert stats["spilled_bytes"] == 0 and stats["rows"] == 1000
+
+
+def test_rules_of_a_frame(spark, values):
+    """Rules belong to a frame and those made from it, count once, and are checked."""
+    def halve(stages):
+        return stages[::2]
+
+    frame = plus(plus(values)).with_rule(halve).with_rule(halve)
+    assert frame.rules == (halve,) and [d.last for d in frame.decisions] == [0]
+    assert sorted(r["value"] for r in frame.take_all()) == sorted(r["value"] + 1 for r in values.take_all())
+    assert frame.filter("true").rules == (halve,) and plus(plus(values)).decisions[0].last == 1
+    with pytest.raises(TypeError):
+        values.with_rule("no function")
+    with pytest.raises(TypeError):
+        frame.with_rule(lambda stages: ["no map"]).decisions  # noqa: B018
+
+
+def test_accumulators(spark):
+    class Mean(batchloom.Accumulator):
+        fields, result, empty = "n long, total double", "double", -1.0
+
+        def start(self, values):
+            some = values.drop_null().to_pylist()
+            return len(some), float(sum(some))
+
+        def merge(self, states):
+            return sum(s[0] for s in states), sum(s[1] for s in states)
+
+        def finish(self, state):
+            return state[1] / state[0] if state[0] else None
+
+    rows = [(k, v) for k, v in zip([1, 2, None, 1, 2, 2, 3, None], [1, 2, 3, None, 4, 6, None, 5], strict=True)]
+    frame = replace(from_range(spark, 1), base=spark.createDataFrame(rows, "k long, v long").repartition(3))
+    expected = {1: 1.0, 2: 4.0, 3: None, None: 4.0}
+    assert {r["k"]: r["m"] for r in frame.group_by("k").aggregate(m=(Mean(), "v")).take_all()} == expected
+    assert {r["k"]: (r["m"], r["k2"]) for r in frame.group_by("k").aggregate(m=(Mean(), "v"), k2=(Mean(), "k")).take_all()} == {k: (m, k) for k, m in expected.items()}
+    assert frame.aggregate(m=(Mean(), "v")).take_all() == [{"m": 3.5}]
+    assert frame.filter("false").aggregate(m=(Mean(), "v")).take_all() == [{"m": -1.0}]
+    assert frame.filter("false").group_by("k").aggregate(m=(Mean(), "v")).take_all() == []
+    with pytest.raises(ValueError, match="apart"):
+        frame.aggregate(m=(Mean(), "v"), n=("count", "v"))
+
+
+def test_accumulators_of_many_keys(spark):
+    """Tasks pass on what they hold when there are many keys."""
+    from batchloom.functions import BitXor
+
+    frame = from_range(spark, 120_000, 2).with_column("k", F.col("id") % 60_000)
+    found = frame.group_by("k").aggregate(x=(BitXor(), "id")).df
+    assert found.count() == 60_000 and found.where("x <> (k ^ (k + 60000))").isEmpty()
+
+
 def test_resource_profiles_are_declined_locally(values):
     assert "resource profiles need a cluster" in plus(values, num_gpus=1).explain()
     assert plus(values, num_gpus=1).count() == 4
