@@ -2,12 +2,18 @@
 
 ``to_transport_stream`` packs each payload into 188-byte packets: a program association table, a
 program map table and one private elementary stream whose packetised units carry a presentation
-timestamp and a random-access mark. ``read_transport_stream`` finds the stream through the tables,
-checks every continuity counter, reassembles the units and lists timestamps and random-access points.
+timestamp and a random-access mark. ``read_transport_stream`` finds the stream through the tables, checks every continuity counter, reassembles the units and
+lists timestamps and random-access points.
+
+The reader takes the first elementary stream of the first program, of any stream that is not scrambled: tables over several
+packets, other and null packets between, packets with an adaptation field only, one repeat of a packet, counters that jump
+where a discontinuity is marked, units with or without a timestamp (null), padding units (skipped), and units without a
+length, which end where the next begins (video only).
 
 Edge cases: a null text is empty; an empty text becomes one block of 64 zero bytes; repeated rows give
 equal rows; extra columns are ignored; an empty table gives an empty table. A long text is many units.
-A damaged stream raises ``ValueError`` naming the fault.
+A damaged stream raises ``ValueError`` naming the fault: lost synchronisation, an error mark, a jump of a counter, a table or
+unit that is cut off or missing.
 """
 
 from __future__ import annotations
@@ -115,58 +121,112 @@ def to_transport_stream(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: np.ndarray, table: int) -> bytes:
-    raw = packet.tobytes()
-    at = 5 + raw[4]
-    size = struct.unpack(">H", raw[at + 1 : at + 3])[0] & 0xFFF
-    section = raw[at : at + 3 + size]
-    if section[0] != table or crc32_mpeg(section):
-        raise ValueError(f"damaged table {table}")
-    return section
-
-
-def read_transport_stream(media: bytes) -> tuple[bytes, list[int], list[int], dict[str, int]]:
-    """Payload, timestamps, numbers of the random-access packets, and counts."""
+#: Stream ids whose units have no header beyond the length; the first is padding.
+PADDING_ID, PLAIN_IDS = 0xBE, frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF))
+
+
+class _Packets:
+    """The packets of one identifier that carry payload, each once, with their continuity checked."""
+
+    def __init__(self, packets: np.ndarray, where: np.ndarray):
+        own = packets[where]
+        control = (own[:, 3] >> 4) & 3
+        if (own[:, 1] & 0x80).any() or (own[:, 3] & 0xC0).any() or (control == 0).any():
+            raise ValueError("packets are marked as damaged or scrambled")
+        carries, field = (control & 1) > 0, (control & 2) > 0
+        length = np.where(field, own[:, 4], 0).astype(np.int32)
+        if (length > np.where(carries, 182, 183)).any():
+            raise ValueError("an adaptation field is longer than its packet")
+        flags = np.where(field & (length > 0), own[:, 5], 0)
+        step = np.diff((own[:, 3] & 15).astype(np.int16)) % 16
+        same = np.zeros(len(own), bool)
+        at = np.flatnonzero(carries[1:] & carries[:-1] & (step == 0)) + 1
+        same[at] = (own[at] == own[at - 1]).all(axis=1)
+        # Counters count packets with payload; one may be repeated as it is.
+        good = same[1:] | ((flags[1:] & 0x80) > 0) | np.where(carries[1:], step == 1, step == 0)
+        if not good.all() or (same[1:] & same[:-1]).any():
+            raise ValueError("continuity counters jump")
+        keep = carries & ~same
+        self.random_access = where[((flags & 0x40) > 0) & ~same]
+        self.count, self.starts = len(own), (own[keep, 1] & 0x40) > 0
+        skip = np.where(field, 5 + length, 4)[keep]
+        self.ends = np.cumsum(PACKET - skip)
+        self.begins = self.ends - (PACKET - skip)
+        self.data = own[keep][np.arange(PACKET) >= skip[:, None]]
+
+
+def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int, table: int, name: str) -> bytes:
+    """The first whole section of a table."""
+    where = np.flatnonzero(pids == pid)
+    if not where.size:
+        raise ValueError(f"no {name}")
+    found, section = _Packets(packets, where), None
+    for start, a, b in zip(found.starts.tolist(), found.begins.tolist(), found.ends.tolist(), strict=True):
+        data = found.data[a:b].tobytes()
+        if start:
+            # The first byte counts those that still belong to the section before.
+            rest, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            section = data if section is None else section + rest
+        elif section is not None:
+            section += data
+        if section is not None and len(section) >= 3 and len(section) >= (size := 3 + (struct.unpack(">H", section[1:3])[0] & 0xFFF)):
+            if section[0] != table or crc32_mpeg(section[:size]):
+                raise ValueError(f"damaged {name}")
+            return section[:size]
+    raise ValueError(f"{name} is cut off")
+
+
+def _unit_parts(unit: bytes) -> tuple[bytes, int | None]:
+    """Payload and timestamp of a packetised unit."""
+    if len(unit) < 6 or unit[:3] != b"\0\0\1":
+        raise ValueError("damaged packetised unit")
+    kind, size = unit[3], struct.unpack(">H", unit[4:6])[0]
+    if size + 6 != len(unit) and not (size == 0 and kind >> 4 == 0xE):
+        raise ValueError("a packetised unit is cut off")
+    if kind in PLAIN_IDS:
+        return unit[6:], None
+    if len(unit) < 9 + unit[8] or unit[6] >> 6 != 2 or (unit[7] & 0x80 and unit[8] < 5):
+        raise ValueError("damaged packetised unit")
+    stamp = None
+    if unit[7] & 0x80:
+        a, b, c = struct.unpack(">BHH", unit[9:14])
+        stamp = ((a & 0x0E) << 29) | ((b & 0xFFFE) << 14) | (c >> 1)
+    return unit[9 + unit[8] :], stamp
+
+
+def read_transport_stream(media: bytes) -> tuple[bytes, list[int | None], list[int], dict[str, int]]:
+    """Payload, timestamps by unit, numbers of the random-access packets, and counts."""
     if not media or len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != SYNC).any():
         raise ValueError("lost synchronisation")
     pids = ((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]
-    pat = np.flatnonzero(pids == 0)
-    if not pat.size:
-        raise ValueError("no program association table")
-    programs = _read_section(packets[pat[0]], 0)[8:-4]
-    pmt_pid = next((struct.unpack(">H", programs[i + 2 : i + 4])[0] & 0x1FFF for i in range(0, len(programs), 4) if programs[i : i + 2] != b"\0\0"), -1)
-    pmt = np.flatnonzero(pids == pmt_pid)
-    if not pmt.size:
-        raise ValueError("no program map table")
-    streams = _read_section(packets[pmt[0]], 2)
+    programs = _section_of(packets, pids, 0, 0, "program association table")[8:-4]
+    # Program 0 is not a program but the network's table.
+    maps = [pid & 0x1FFF for number, pid in struct.iter_unpack(">HH", programs) if number]
+    if not maps:
+        raise ValueError("no program")
+    streams = _section_of(packets, pids, maps[0], 2, "program map table")
     at = 12 + (struct.unpack(">H", streams[10:12])[0] & 0xFFF)
+    if at + 5 > len(streams) - 4:
+        raise ValueError("a program without streams")
     es_pid = struct.unpack(">H", streams[at + 1 : at + 3])[0] & 0x1FFF
     where = np.flatnonzero(pids == es_pid)
-    es = packets[where]
-    if not es.size:
+    if not where.size:
         raise ValueError("no elementary packets")
-    counters = es[:, 3] & 15
-    if (np.diff(counters.astype(np.int16)) % 16 != 1).any():
-        raise ValueError("continuity counters jump")
-    field = (es[:, 3] & 0x20) != 0
-    skip = np.where(field, 5 + es[:, 4].astype(np.int32), 4)
-    random_access = where[field & (es[:, 4] > 0) & ((es[:, 5] & 0x40) != 0)]
-    data = es[np.arange(PACKET) >= skip[:, None]]
-    ends = np.cumsum(PACKET - skip)
-    begins = (ends - (PACKET - skip))[(es[:, 1] & 0x40) != 0].tolist()
+    es = _Packets(packets, where)
+    begins = es.begins[es.starts].tolist()
+    if not begins or begins[0]:
+        raise ValueError("the stream begins inside a unit")
     parts, stamps = [], []
-    for start, end in zip(begins, begins[1:] + [int(ends[-1])], strict=True):
-        head = data[start : start + PES_HEAD].tobytes()
-        size = struct.unpack(">H", head[4:6])[0]
-        if head[:3] != b"\0\0\1" or size + 6 != end - start:
-            raise ValueError("damaged packetised unit")
-        a, b, c = struct.unpack(">BHH", head[9:14])
-        stamps.append(((a & 0x0E) << 29) | ((b & 0xFFFE) << 14) | (c >> 1))
-        parts.append(data[start + 9 + head[8] : end].tobytes())
-    return b"".join(parts), stamps, random_access.tolist(), {"packets": len(packets), "es": len(es), "units": len(parts), "stream_type": streams[at], "pid": es_pid}
+    for start, end in zip(begins, [*begins[1:], int(es.ends[-1])], strict=True):
+        unit = es.data[start:end].tobytes()
+        payload, stamp = _unit_parts(unit)
+        if unit[3] != PADDING_ID:
+            parts.append(payload)
+            stamps.append(stamp)
+    return b"".join(parts), stamps, es.random_access.tolist(), {"packets": len(packets), "es": es.count, "units": len(parts), "stream_type": streams[at], "pid": es_pid}
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +240,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(doc_id: int | None, n_bytes: int, media: bytes) -> dict:
     payload, stamps, access, counts = read_transport_stream(media)
-    values = np.frombuffer(payload, np.uint8)
-    feature = ";".join([*(f"{k}={v}" for k, v in counts.items()), f"access={len(access)}", f"first={stamps[0]}", f"last={stamps[-1]}", f"sum={int(values.sum(dtype=np.int64))}", f"peak={int(values.max())}"])
+    values, known = np.frombuffer(payload, np.uint8), [t for t in stamps if t is not None]
+    feature = ";".join([*(f"{k}={v}" for k, v in counts.items()), f"access={len(access)}", f"first={known[0] if known else None}", f"last={known[-1] if known else None}", f"sum={int(values.sum(dtype=np.int64))}", f"peak={int(values.max(initial=0))}"])
     return {
         "doc_id": doc_id,
         "n_bytes": n_bytes,
