@@ -17,6 +17,7 @@ id is held out; repeated rows give equal rows; extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -32,7 +33,7 @@ from batchloom.llm.common import written
 SAMPLE, SAMPLE_CHARS, LANGUAGES = 300, 20_000, 200
 WORD, PIECE = 32, 10
 FLOOR, SMOOTH, ROUNDS = 1e-8, 0.05, 3
-REMEMBER = 250_000
+REMEMBER, WORDS = 250_000, 100_000
 ROWS = 1_000
 UNKNOWN = "und"
 _BASE = 0x9E3779B97F4A7C15
@@ -158,37 +159,39 @@ def fit(counts: dict[str, Counter], pieces: Pieces) -> tuple[list[str], np.ndarr
     return names, np.stack(columns, axis=1) if names else np.zeros((len(pieces), 0))
 
 
+class _Numbers(dict):
+    """Numbers of words, the next one for a word not seen before."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Scorer:
     """Scores texts, remembering the log-likelihoods of recent words."""
 
     def __init__(self, names: list[str], probability: np.ndarray, pieces: Pieces):
         self.names, self.probability, self.pieces = names, probability, pieces
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.logs = np.zeros((0, len(names)))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.known) >= REMEMBER:
-            self.known, self.logs = {}, self.logs[:0]
+            self.known, self.logs = _Numbers(), self.logs[:0]
         split = [words_of(t.lower()) if t else [] for t in texts]
-        known, new = self.known, {}
-        for words in split:
-            for w in words:
-                if w not in known and w not in new:
-                    new[w] = None
-        if new and self.names:
-            fresh = list(new)
+        if not self.names:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in split]
+        if fresh := list(itertools.islice(self.known, len(self.logs), None)):
             logs = [np.log(Lattice(fresh[a : a + 20_000], self.pieces).totals(self.probability)) for a in range(0, len(fresh), 20_000)]
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.logs = np.concatenate([self.logs, *logs])
-        out = []
-        for words in split:
-            if not words or not self.names:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.logs[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.names[best], float(1.0 / np.exp(total - total[best]).sum())))
-        return out
+        return [self._best(n) if n.size else (UNKNOWN, 0.0) for n in numbers]
+
+    def _best(self, numbers: np.ndarray) -> tuple[str, float]:
+        # A long text is summed some words at a time.
+        total = sum(self.logs[numbers[a : a + WORDS]].sum(axis=0) for a in range(0, numbers.size, WORDS))
+        best = int(total.argmax())
+        return self.names[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
 _scorers: dict[str, Scorer] = {}
