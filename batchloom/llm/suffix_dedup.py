@@ -265,10 +265,6 @@ class Block:
         apart[1:] |= ids[1:] != ids[:-1]
         self.n_docs = np.add.reduceat(apart.astype(np.int64), np.flatnonzero(new)) if keys.size else np.zeros(0, np.int64)
 
-    def cuts(self, keys: np.ndarray) -> np.ndarray:
-        """Where each bucket begins in sorted keys."""
-        return np.searchsorted(bucket_of(keys, self.buckets), np.arange(self.buckets + 1))
-
     def strings(self) -> None:
         """The distinct runs of bytes whose minimizer several documents have."""
         flags = np.frombuffer(b"".join(self.mail[FLAGS].column("a").to_pylist()), np.uint8)
@@ -305,14 +301,38 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def used_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys name, and where each one's keys begin, with the end."""
+    of = bucket_of(keys, buckets)
+    at = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: of.size])
+    return of[at].astype(np.int32), np.append(at, of.size)
+
+
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of an array, from each cut to the next, as binary values."""
+    values = np.ascontiguousarray(values)
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32) if cuts.size else np.zeros(1, np.int32)
+    part = values[cuts[0] : cuts[-1]] if cuts.size else values[:0]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(part.tobytes())])
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.Table:
+    """``n`` rows of arrays, or of one value for all; columns that aren't given are null."""
+    def made(f: pa.Field) -> pa.Array:
+        value = columns.get(f.name)
+        if value is None:
+            return pa.nulls(n, f.type)
+        return value if isinstance(value, pa.Array) else pa.array(np.broadcast_to(value, n), f.type)
+
+    return pa.Table.from_arrays([made(f) for f in schema], schema=schema)
+
+
 def _ask(buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, mail: pa.Table) -> pa.Table:
-        block, rows = Block(docs, mail, buckets), []
-        cuts = block.cuts(block.distinct)
-        for b in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[b], cuts[b + 1])
-            rows.append({"bucket": int(b), "block": key[0].as_py(), "keys": block.distinct[s].tobytes(), "docs": np.minimum(block.n_docs[s], 65535).astype(np.uint16).tobytes()})
-        return pa.Table.from_pylist(rows, schema=_ASK)
+        block = Block(docs, mail, buckets)
+        bucket, cuts = used_buckets(block.distinct, buckets)
+        docs_ = np.minimum(block.n_docs, 65535).astype(np.uint16)
+        return _rows(_ASK, bucket.size, bucket=bucket, block=key[0].as_py(), keys=packed(block.distinct, cuts), docs=packed(docs_, cuts))
 
     return run
 
@@ -329,25 +349,22 @@ def _flag(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     total = np.add.reduceat(docs[order], np.flatnonzero(new))
     flags = np.empty(k.size, np.uint8)
     flags[order] = np.repeat((total > 1).astype(np.uint8) + (total >= HOT), np.diff(np.append(np.flatnonzero(new), k.size)))
-    ends = np.cumsum([p.size for p in parts])
-    rows = [{"block": block, "kind": FLAGS, "bucket": key[0].as_py(), "a": flags[end - p.size : end].tobytes()} for block, p, end in zip(asked.column("block").to_pylist(), parts, ends, strict=True)]
-    return pa.Table.from_pylist(rows, schema=_MAIL)
+    cuts = np.append(0, np.cumsum([p.size for p in parts]))
+    return _rows(_MAIL, len(parts), block=asked.column("block").to_numpy(), kind=FLAGS, bucket=key[0].as_py(), a=packed(flags, cuts))
 
 
 def _send(buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, mail: pa.Table) -> pa.Table:
-        block, rows = Block(docs, mail, buckets), []
+        block = Block(docs, mail, buckets)
         block.strings()
-        cuts = block.cuts(block.s_keys)
+        bucket, cuts = used_buckets(block.s_keys, buckets)
         least, most = block.s_doc[block.s_first], block.s_doc[block.s_first + block.s_count - 1]
         start, lens = block.s_start[block.s_first], block.s_len[block.s_first]
-        for b in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[b], cuts[b + 1])
-            rows.append(
-                {"bucket": int(b), "block": key[0].as_py(), "lens": lens[s].astype(np.uint8).tobytes(), "least": least[s].tobytes(), "most": most[s].tobytes()}
-                | {"bytes": block.data[ranges(start[s], lens[s] + WINDOW - 1)].tobytes()}
-            )
-        return pa.Table.from_pylist(rows, schema=_SEND)
+        ends = np.append(0, np.cumsum(lens + WINDOW - 1))
+        return _rows(
+            _SEND, bucket.size, bucket=bucket, block=key[0].as_py(), lens=packed(lens.astype(np.uint8), cuts), least=packed(least, cuts), most=packed(most, cuts),
+            bytes=packed(block.data[ranges(start, lens + WINDOW - 1)], ends[cuts] if bucket.size else cuts),
+        )
 
     return run
 
@@ -372,16 +389,12 @@ def _sort(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     counts = np.array([len(x) for x in sent.column("lens").to_pylist()], np.int64)
     ends = np.cumsum(counts)
     cuts = np.searchsorted(run, np.append(0, ends))
-    rows = []
-    for i, block in enumerate(sent.column("block").to_pylist()):
-        s = slice(cuts[i], cuts[i + 1])
-        own = (run[s] - (ends[i] - counts[i])).astype(np.int32)
-        # The number of runs comes first, so that the block can number the runs of all its buckets.
-        rows.append(
-            {"block": block, "kind": ANSWER, "bucket": key[0].as_py(), "id": int(counts[i]), "a": own.tobytes(), "b": (at[s] - begins[run[s]]).astype(np.uint8).tobytes()}
-            | {"c": size[s].astype(np.uint8).tobytes(), "d": firsts[at[s]].tobytes()}
-        )
-    return pa.Table.from_pylist(rows, schema=_MAIL)
+    own = (run - np.repeat(ends - counts, np.diff(cuts))).astype(np.int32)
+    # The number of runs comes first, so that the block can number the runs of all its buckets.
+    return _rows(
+        _MAIL, counts.size, block=sent.column("block").to_numpy(), kind=ANSWER, bucket=key[0].as_py(), id=counts, a=packed(own, cuts),
+        b=packed((at - begins[run]).astype(np.uint8), cuts), c=packed(size.astype(np.uint8), cuts), d=packed(firsts[at], cuts),
+    )
 
 
 def _cut(buckets: int):
