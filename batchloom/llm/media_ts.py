@@ -18,6 +18,7 @@ unit that is cut off or missing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -140,8 +141,9 @@ class _Packets:
         flags = np.where(field & (length > 0), own[:, 5], 0)
         step = np.diff((own[:, 3] & 15).astype(np.int16)) % 16
         same = np.zeros(len(own), bool)
-        at = np.flatnonzero(carries[1:] & carries[:-1] & (step == 0)) + 1
-        same[at] = (own[at] == own[at - 1]).all(axis=1)
+        if (step == 0).any():
+            at = np.flatnonzero(carries[1:] & carries[:-1] & (step == 0)) + 1
+            same[at] = (own[at] == own[at - 1]).all(axis=1)
         # Counters count packets with payload; one may be repeated as it is.
         good = same[1:] | ((flags[1:] & 0x80) > 0) | np.where(carries[1:], step == 1, step == 0)
         if not good.all() or (same[1:] & same[:-1]).any():
@@ -155,11 +157,27 @@ class _Packets:
         self.data = own[keep][np.arange(PACKET) >= skip[:, None]]
 
 
+def _checked(section: bytes, table: int, name: str) -> bytes:
+    if section[0] != table or _remainder(section):
+        raise ValueError(f"damaged {name}")
+    return section
+
+
+#: Streams of one writer have the same tables, so their checksums are remembered.
+_remainder = functools.lru_cache(256)(crc32_mpeg)
+
+
 def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int, table: int, name: str) -> bytes:
     """The first whole section of a table."""
     where = np.flatnonzero(pids == pid)
     if not where.size:
         raise ValueError(f"no {name}")
+    if where.size == 1 and packets[where[0], 1] >> 6 == 1 and packets[where[0], 3] & 0xF0 == 0x10:
+        # Most tables are one packet, which has no counter to follow.
+        raw = packets[where[0]].tobytes()
+        at = 5 + raw[4]
+        if at + 3 <= PACKET and at + (size := 3 + (struct.unpack(">H", raw[at + 1 : at + 3])[0] & 0xFFF)) <= PACKET:
+            return _checked(raw[at : at + size], table, name)
     found, section = _Packets(packets, where), None
     for start, a, b in zip(found.starts.tolist(), found.begins.tolist(), found.ends.tolist(), strict=True):
         data = found.data[a:b].tobytes()
@@ -170,9 +188,7 @@ def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int, table: int, nam
         elif section is not None:
             section += data
         if section is not None and len(section) >= 3 and len(section) >= (size := 3 + (struct.unpack(">H", section[1:3])[0] & 0xFFF)):
-            if section[0] != table or crc32_mpeg(section[:size]):
-                raise ValueError(f"damaged {name}")
-            return section[:size]
+            return _checked(section[:size], table, name)
     raise ValueError(f"{name} is cut off")
 
 
