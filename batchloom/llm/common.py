@@ -82,16 +82,16 @@ def drop_stages(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) ->
     paths[:] = [p for p in paths if p not in gone]
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner", narrow: bool = True) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, total: int, how: str = "inner", maybe_few: bool = True) -> DataFrame:
     """``rows`` joined to ``table`` on ``key``, the rows of a frequent key dealt over several tasks.
 
     ``table`` has one row per key, and in ``n_rows`` how many of the ``total`` rows have it. Where it is counted to have at most
-    ``FEW_ROWS`` rows, it is broadcast (``narrow`` says that its columns are numbers and hashes, so this is a few MB).
+    ``FEW_ROWS`` rows, it is broadcast; ``maybe_few`` is false for a table that is wide, or grows with the rows anyway.
     Otherwise a key is frequent if more than ``total / MOST_FREQUENT`` rows have it, so there are at most ``MOST_FREQUENT`` of
     them, and only hashes of these come to the driver. Each is dealt, by a hash of the column ``by``, to a power of two of
     tasks, and its row of ``table`` is repeated as often: at most four times ``MOST_FREQUENT`` rows in all. Keys are not null.
     """
-    if narrow and table.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+    if maybe_few and table.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
         return rows.join(F.broadcast(table.drop("n_rows")), key, how)
     share = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
     times = F.ceil(F.log2(F.col("n_rows") / share)).cast("int")

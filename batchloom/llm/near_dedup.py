@@ -169,7 +169,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFra
     leaders = pairs.groupBy("u").agg(F.count("*").alias("n_rows"))
     leaders = written(spark, sets.join(leaders, F.col("id") == F.col("u")).select("u", "n_rows", F.col("sig").alias("x_sig"), F.col("shingles").alias("x_set")), "near-leaders")
     rows = pairs.join(sets.select(F.col("id").alias("v"), F.col("sig").alias("y_sig"), F.col("shingles").alias("y_set")), "v")
-    joined = spread_join(rows, leaders, ["u"], "v", pairs.count(), narrow=False)
+    joined = spread_join(rows, leaders, ["u"], "v", pairs.count(), maybe_few=False)
     return joined.select("u", "v", "x_sig", "x_set", "y_sig", "y_set").mapInArrow(_similar, "u long, v long")
 
 
@@ -324,7 +324,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     entries = heads.select(F.explode("bands").alias("key"), "id")
     crowded = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n_rows")).where("leader < last")
     crowded = written(spark, crowded.drop("last"), "near-crowded")
-    buckets = written(spark, spread_join(entries, crowded, ["key"], "id", n_docs * BANDS).distinct(), "near-buckets")
+    buckets = written(spark, spread_join(entries, crowded, ["key"], "id", n_docs * BANDS, maybe_few=False).distinct(), "near-buckets")
     sets = _chosen_sets(spark, texts, buckets.select("id").distinct(), n_docs > n_ids)
 
     first = written(spark, buckets.where("leader <> id").groupBy(F.col("id").alias("v")).agg(F.min("leader").alias("u")).select("u", "v"), "near-first")
