@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.sources.shared import stage_path, work_dir as work_dir
+
 #: So much text at a time that its hashes stay in a core's cache.
 CHUNK_BYTES = 1 << 18
 
@@ -31,25 +31,6 @@ _SHORT_WORD = 64
 MOST_FREQUENT, LEAST_FREQUENT, FEW_ROWS = 10_000, 64, 100_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for written stages: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a fresh local folder (tests); a cluster raises, as its executors share no local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="batchloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _made = threading.local()
 
 
